@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from netloom.llm import bpe
 from netloom.llm.packing import pack_documents
 
 
@@ -11,12 +12,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded by the 50k ranks and decoded again, as digests."""
+    import public_tokenizers as vocabulary
+
+    ranks = vocabulary.path("byte_bpe_50k.tiktoken")
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), ranks, vocabulary.PATTERN)
+    return bpe.digests(bpe.decode(encoded, ranks))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens."""
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_byte_bpe": op1_byte_bpe,
     "op5_best_fit_packing": op5_best_fit_packing,
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -12,10 +12,12 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, sequence_id string"
 
 
+TOKENIZER = Tokenizer.from_file(PATH)
+TOKENIZER.encode_special_tokens = True
+
+
 def reference_ids(text):
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return [*t.encode(text or "", add_special_tokens=False).ids, 0]
+    return [*TOKENIZER.encode(text or "", add_special_tokens=False).ids, 0]
 
 
 def check(rows, docs, capacity):
