@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netloom.llm import bpe
+from netloom.llm import bpe, quality
 from netloom.llm.packing import pack_documents
 
 
@@ -21,13 +21,22 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(encoded, ranks))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base rule and line-first verdict of all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.assess(docs).drop("text", "cleaned")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens."""
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op3_quality_rules": op3_quality_rules,
     "op1_byte_bpe": op1_byte_bpe,
     "op5_best_fit_packing": op5_best_fit_packing,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_quality_rules": quality.SQL,
+}
