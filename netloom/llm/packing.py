@@ -8,6 +8,8 @@ the capacity alone, never on the number of documents; ranks within a length then
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
 from bisect import bisect_right
 from collections import defaultdict
@@ -25,11 +27,20 @@ CAPACITY = 2048
 REMEMBERED = 400_000
 
 
+#: A vocabulary's character for each byte: itself where it can be seen, else the next free one from 256 on.
+SEEN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE = {b: chr(b) for b in SEEN} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in SEEN)}
+ASCII_RUN = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
+#: Letters whose lower case depends on their place or is longer than one letter.
+ODD_CASE = frozenset("\u03a3\u0130")
+
+
 class Words(dict):
     """Little-endian ids of each word met, a word being what stands between ASCII white space.
 
-    The vocabulary drops white space and never merges across it, so a text's ids are those of its words in turn.
-    A closing mark after a letter or digit is a token of its own as well, which lets words share entries.
+    The vocabulary drops white space and never merges across it, so a text's ids are those of its words in turn. Words
+    that are sure to be one run of letters, digits or marks go to the merges at once, and are kept in lower case; all
+    others go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -37,17 +48,29 @@ class Words(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.merges = self.tokenizer.model.tokenize
+
+    def run(self, text: str) -> bytes:
+        return b"".join([x.id.to_bytes(4, "little") for x in self.merges("".join([BYTE[b] for b in text.encode()]))])
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) > REMEMBERED:
             self.clear()
         text = word.decode("utf-8", "replace")
-        if len(text) > 1 and text[-1] in ".,!" and text[-2].isalnum():
+        if text.isascii() and text.isprintable() and "'" not in text:
+            low = text.lower()
+            runs = ASCII_RUN.findall(low)
+            if len(runs) > 1:
+                ids = b"".join([self[x.encode()] for x in runs])
+            else:
+                ids = self.run(low) if low == text else self[low.encode()]
+        elif len(text) > 1 and text[-1] in ".,!" and text[-2].isalnum() and text[-2] not in ODD_CASE:
             ids = self[text[:-1].encode()] + self[text[-1].encode()]
-        elif text.isascii() and text.isalpha() and not text.islower():
-            ids = self[text.lower().encode()]
+        elif text.isalpha() and unicodedata.is_normalized("NFC", text) and ODD_CASE.isdisjoint(text):
+            low = text.lower()
+            ids = self.run(low) if low == text else self[low.encode()]
         else:
-            ids = b"".join(x.to_bytes(4, "little") for x in self.tokenizer.encode(text, add_special_tokens=False).ids)
+            ids = b"".join([x.to_bytes(4, "little") for x in self.tokenizer.encode(text, add_special_tokens=False).ids])
         self[word] = ids
         return ids
 

@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from netloom.llm.packing import Tightest, pack_documents, plan
+from netloom.llm.packing import Tightest, Words, pack_documents, plan
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, sequence_id string"
@@ -57,6 +57,15 @@ def test_empty_table_and_repeated_rows(spark):
     assert sorted((r["length"], r["offset"]) for r in rows) and len({(r["sequence_id"], r["offset"]) for r in rows}) == 3
 
 
+def test_words_as_the_tokenizer_gives_them():
+    r = random.Random(3)
+    letters = "aZéÉßΣσİıǅ.,!'’#<|>_-07²Ⅷ½٣日本ªº\u0301\u1e9b\ufb01\x7f\x01\xa0\u200b🙂"
+    words = Words(PATH)
+    for _ in range(20000):
+        text = "".join(r.choices(letters, k=r.randint(1, 7)))
+        assert words[text.encode()] == b"".join(x.to_bytes(4, "little") for x in reference_ids(text)[:-1]), text
+
+
 def brute(lengths, capacity):
     bins = []
     for length in sorted(lengths, reverse=True):
