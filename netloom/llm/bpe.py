@@ -10,20 +10,22 @@ documents are put together by position.
 from __future__ import annotations
 
 import base64
+import zlib
 from array import array
-from itertools import chain
+from collections import defaultdict
+from itertools import batched, chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import partitions, ship, tune, written
+from netloom.llm.common import ship, tune, written
 
 ship(__name__)
 
 #: A block ends after so many pre-tokens, or so many distinct stretches of text.
-BLOCK_TOKENS, BLOCK_STRETCHES = 4_000_000, 500_000
+BLOCK_TOKENS, BLOCK_STRETCHES = 3_000_000, 350_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -68,53 +70,96 @@ class Block:
         return out
 
 
-def _blocks(pattern: str):
-    def cut(batches):
-        import regex
-        from pyspark import TaskContext
+def squeeze(numbers: np.ndarray) -> bytes:
+    """32-bit numbers as compressed byte planes."""
+    import zstandard
+
+    planes = np.ascontiguousarray(numbers.astype("<i4", copy=False).view(np.uint8).reshape(-1, 4).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unsqueeze(data: bytes) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<i4").reshape(-1)
+
+
+def _blocks(pattern: str, buckets: int | None):
+    """Cuts a partition into blocks. With ``buckets`` it gives each block's distinct words, dealt by their bytes; else its documents, and last a row with the words' checksum."""
 
-        compiled, base, k = regex.compile(pattern), TaskContext.get().partitionId() << 32, 0
-        names = ["block", "doc_id", "codes", "start", "words"]
-        types = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.binary())]
+    def rows(names, types, *columns):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
-        def rows(*columns):
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+    def words_of(at, block):
+        import zstandard
 
-        def dictionary(block):
-            words = [w.encode() for w in block.words]
-            for at in range(0, len(words), 20_000):
-                yield rows([base + k], [None], [None], [at], [words[at : at + 20_000]])
+        squeezer, dealt = zstandard.ZstdCompressor(level=3), defaultdict(list)
+        words = [w.encode() for w in block.words]
+        for code, word in enumerate(words):
+            dealt[zlib.crc32(word) % buckets].append(code)
+        for own in batched(dealt.items(), 256):
+            yield rows(
+                ["block", "bucket", "check", "codes", "words"], [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()],
+                [at] * len(own), [b for b, _ in own], [zlib.crc32(b"\xff".join(words))] * len(own),
+                [squeeze(np.diff(np.array(c, np.int32), prepend=0)) for _, c in own],
+                [squeezer.compress(b"\xff".join([words[x] for x in c])) for _, c in own],
+            )
 
+    def documents_of(at, ids, codes):
+        return rows(["block", "doc_id", "check", "codes"], [pa.int64(), pa.int64(), pa.int64(), pa.binary()], [at] * len(ids), ids, [None] * len(ids), codes)
+
+    def end_of(at, block):
+        check = zlib.crc32(b"\xff".join([w.encode() for w in block.words]))
+        return rows(["block", "doc_id", "check", "codes"], [pa.int64(), pa.int64(), pa.int64(), pa.binary()], [at], [None], [check], [None])
+
+    def cut(batches):
+        import regex
+        from pyspark import TaskContext
+
+        compiled, at = regex.compile(pattern), TaskContext.get().partitionId() << 32
         block = Block(compiled)
         for batch in batches:
             ids, codes = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids.append(doc_id)
-                codes.append(block.codes(text or "").tobytes())
+                found = block.codes(text or "")
+                if not buckets:
+                    ids.append(doc_id)
+                    codes.append(squeeze(np.frombuffer(found, np.int32)))
                 if block.tokens >= BLOCK_TOKENS or len(block.stretches) >= BLOCK_STRETCHES:
-                    yield rows([base + k] * len(ids), ids, codes, [None] * len(ids), [None] * len(ids))
-                    yield from dictionary(block)
-                    ids, codes, block, k = [], [], Block(compiled), k + 1
+                    if buckets:
+                        yield from words_of(at, block)
+                    else:
+                        yield documents_of(at, ids, codes)
+                        yield end_of(at, block)
+                    ids, codes, block, at = [], [], Block(compiled), at + 1
             if ids:
-                yield rows([base + k] * len(ids), ids, codes, [None] * len(ids), [None] * len(ids))
-        yield from dictionary(block)
+                yield documents_of(at, ids, codes)
+        if buckets:
+            yield from words_of(at, block)
+        else:
+            yield end_of(at, block)
 
     return cut
 
 
 def _encoder(ranks_path: str, pattern: str):
-    def encode(batches):
+    def encode(asked: pa.Table) -> pa.Table:
         import tiktoken
+        import zstandard
 
         piece = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=read_ranks(ranks_path), special_tokens={})._encode_single_piece
-        last, ids = None, b""
-        for batch in batches:  # sorted by word: equal ones stand together
+        unpack, known, ids, sizes = zstandard.ZstdDecompressor(), {}, [], []
+        for packed in asked.column("words").to_pylist():
             out = []
-            for word in batch.column("word").to_pylist():
-                if word != last:
-                    last, ids = word, array("i", piece(word)).tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("code"), pa.array(out, pa.binary())], names=["block", "code", "ids"])
+            for word in unpack.decompress(packed).split(b"\xff"):
+                found = known.get(word)
+                if found is None:
+                    found = known[word] = piece(word)
+                out.append(found)
+            ids.append(squeeze(np.fromiter(chain.from_iterable(out), np.int32)))
+            sizes.append(squeeze(np.fromiter(map(len, out), np.int32, len(out))))
+        return pa.table({"block": asked.column("block"), "check": asked.column("check"), "codes": asked.column("codes"), "ids": pa.array(ids, pa.binary()), "sizes": pa.array(sizes, pa.binary())})
 
     return encode
 
@@ -125,29 +170,37 @@ def _lists(parts: list[bytes], of) -> pa.Array:
 
 
 def _assemble(docs: pa.Table, words: pa.Table) -> pa.Table:
-    ids = [b""] * words.num_rows
-    for code, found in zip(words.column("code").to_pylist(), words.column("ids").to_pylist(), strict=True):
-        ids[code] = found
-    parts = [b"".join([ids[c] for c in memoryview(codes).cast("i")]) for codes in docs.column("codes").to_pylist()]
-    return pa.table({"doc_id": docs.column("doc_id"), "ids": _lists(parts, pa.int32())})
+    checks = {x for t in (docs, words) for x in t.column("check").to_pylist() if x is not None}
+    if len(checks) > 1:
+        raise RuntimeError("the input gave other rows when it was read again; give a written table")
+    ids = {}
+    for codes, found, sizes in zip(*(words.column(c).to_pylist() for c in ("codes", "ids", "sizes")), strict=True):
+        found, at = unsqueeze(found).tobytes(), 0
+        for code, size in zip(np.cumsum(unsqueeze(codes)).tolist(), unsqueeze(sizes).tolist(), strict=True):
+            ids[code] = found[at : at + 4 * size]
+            at += 4 * size
+    kept = [(d, c) for d, c in zip(docs.column("doc_id").to_pylist(), docs.column("codes").to_pylist(), strict=True) if c is not None]
+    parts = [b"".join([ids[c] for c in unsqueeze(codes).tolist()]) for _, codes in kept]
+    return pa.table({"doc_id": pa.array([d for d, _ in kept], pa.int64()), "ids": _lists(parts, pa.int32())})
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """(doc_id, ids) of every whole text: each match of ``pattern`` merged by the ranks, without special tokens.
 
     Null and empty texts have no ids. Repeated rows come out as often as they went in. Only doc_id and text are read.
+    The input is read twice and has to give the same rows in the same order, as files do; what comes out of a shuffle
+    is written first.
     """
     spark = docs.sparkSession
     tune(spark)
-    kind = "block long, doc_id long, codes binary, start int, words array<binary>"
-    parts = written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_blocks(pattern), kind))
-    asked = parts.where("words is not null").select("block", "start", F.posexplode("words").alias("at", "word"))
-    asked = asked.select("block", (F.col("start") + F.col("at")).alias("code"), "word")
-    answered = (
-        asked.repartition(partitions(spark), "word").sortWithinPartitions("word")
-        .mapInArrow(_encoder(ranks_path, pattern), "block long, code int, ids binary")
-    )
-    bodies = parts.where("words is null").select("block", "doc_id", "codes")
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
+        docs = written(docs)
+    buckets = min(max(4 * docs.rdd.getNumPartitions(), 64), 65_536)
+    asked = docs.mapInArrow(_blocks(pattern, buckets), "block long, bucket int, check long, codes binary, words binary")
+    kind = "block long, check long, codes binary, ids binary, sizes binary"
+    answered = asked.groupBy("bucket").applyInArrow(_encoder(ranks_path, pattern), kind)
+    bodies = docs.mapInArrow(_blocks(pattern, None), "block long, doc_id long, check long, codes binary")
     return bodies.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(_assemble, "doc_id long, ids array<int>")
 
 

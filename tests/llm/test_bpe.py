@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -37,3 +38,16 @@ def test_as_the_library_encodes(spark, monkeypatch, block):
 
 def test_empty_table(spark):
     assert run(spark, []) == []
+
+
+def test_rows_out_of_a_shuffle(spark):
+    docs = [(i, f"w{i} of the {i}") for i in range(50)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3, "doc_id")
+    out = bpe.digests(bpe.decode(bpe.encode(frame, RANKS, public_tokenizers.PATTERN), RANKS)).collect()
+    assert sorted(tuple(r) for r in out) == sorted(expected(*d) for d in docs)
+
+
+def test_squeeze():
+    for n in (0, 1, 1000):
+        x = np.arange(n, dtype=np.int32) * 77 - 3
+        assert (bpe.unsqueeze(bpe.squeeze(x)) == x).all()
