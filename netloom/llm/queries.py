@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netloom.llm import bpe, quality
+from netloom.llm import bpe, quality, toxicity
 from netloom.llm.packing import pack_documents
 
 
@@ -32,7 +32,16 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents, learnt from the labelled ones that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    out = toxicity.score(docs, machine).withColumn("held_out", toxicity.held_out())
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES = {
+    "op10_toxicity": op10_toxicity,
     "op3_quality_rules": op3_quality_rules,
     "op1_byte_bpe": op1_byte_bpe,
     "op5_best_fit_packing": op5_best_fit_packing,
