@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from netloom.llm.common import SPACE
 
 # Marks and phrases of the line rules.
-SYMBOLS = "#*$%&|<>"
-SEPARATORS = "|»›•·"
-CODE_MARKS = "#*$%&<>{}[]\\^~=_@"
+SYMBOLS = "[#*$%&|<>]"
+SEPARATORS = "[|»›•·]"
+CODE_MARKS = "[#*$%&<>{}\\[\\]\\\\^~=_@]"
+SENTENCE_MARKS = "[.,;:!?…。！？]"
 BOILERPLATE = (
     "all rights reserved", "copyright ©", "© ", "cookie policy", "use of cookies", "accept cookies", "privacy policy",
     "terms of use", "terms of service", "enable javascript", "subscribe to our", "sign up for", "click here", "back to top",
@@ -23,29 +24,27 @@ BOILERPLATE = (
 
 #: Share of a document's word characters that may go with its lines, in hundredths.
 MOST_LOST = 50
-#: A line of so many words without any sentence mark is a list, not prose.
-LIST_WORDS = 8
-
-
-def _count(text: Column, marks: str) -> Column:
-    return F.char_length(text) - F.char_length(F.translate(text, marks, ""))
-
-
-def _word_chars(text: Column) -> Column:
-    return F.char_length(F.translate(text, " \t\n\x0b\x0c\r", ""))
+#: A line of navigation has a separator for every so many characters; one of marks or shouting has more of them than that.
+PER_SEPARATOR, PER_MARK, PER_SHOUT = 20, 10, 12
+#: A line this long without any sentence mark is a list, not prose; boilerplate stands in lines up to BANNER.
+LIST_CHARS, BANNER = 40, 240
 
 
 def line_passes(line: Column) -> Column:
     """True for a line of prose, and for one without words."""
-    words = F.size(F.split(F.trim(line), f"[{SPACE}]+"))
-    separators, marks, shouts = _count(line, SEPARATORS), _count(line, CODE_MARKS), _count(line, "!")
-    navigation = (separators >= 2) & (4 * separators >= words) | (separators == 1) & (words <= 4)
-    punctuation = (2 * marks > words) | (2 * shouts > words) & (shouts > 3) | (words >= LIST_WORDS) & ~line.rlike("[.,;:!?…。！？]")
-    boilerplate = F.lit(False)
-    lower = F.lower(line)
-    for phrase in BOILERPLATE:
+    chars, lower = F.char_length(line), F.lower(line)
+    count = lambda marks: F.regexp_count(line, F.lit(marks))
+    boilerplate = lower.contains(BOILERPLATE[0])
+    for phrase in BOILERPLATE[1:]:
         boilerplate = boilerplate | lower.contains(phrase)
-    return ~(navigation | punctuation | boilerplate & (words <= 30))
+    return F.when((chars <= BANNER) & boilerplate, F.lit(False)).otherwise(
+        ~(
+            (line.rlike(SEPARATORS) & (count(SEPARATORS) * PER_SEPARATOR >= chars))
+            | (line.contains("!!") & (count("!") * PER_SHOUT > chars))
+            | (line.rlike(CODE_MARKS) & (count(CODE_MARKS) * PER_MARK > chars))
+            | (chars >= LIST_CHARS) & ~line.rlike(SENTENCE_MARKS)
+        )
+    )
 
 
 def _repeated(words: Column, packed: Column) -> Column:
@@ -86,11 +85,11 @@ def assess(docs: DataFrame, text: str = "text") -> DataFrame:
     covered = F.aggregate("_places", zero, lambda a, p: F.struct(p.alias("last"), (a.n + F.least(F.lit(3), p - a.last)).alias("n")), lambda a: a.n)
     out = out.withColumns({
         "n_words": F.size(words).cast("long"),
-        "word_chars": _word_chars(body).cast("long"),
-        "n_symbols": _count(body, SYMBOLS).cast("long"),
+        "word_chars": F.char_length(F.array_join(words, "")).cast("long"),
+        "n_symbols": F.regexp_count(body, F.lit(SYMBOLS)).cast("long"),
         "n_dup_lines": (F.size("_full") - F.size(F.array_distinct("_full"))).cast("long"),
         "n_repeat_words": covered,
-        "_left": _word_chars(F.col("_cleaned")).cast("long"),
+        "_left": F.when(F.size("_passed") == F.size("_lines"), F.char_length(F.array_join(words, ""))).otherwise(F.char_length(F.regexp_replace("_cleaned", f"[{SPACE}]+", ""))),
         "cleaned": F.when(F.col("_text").isNotNull(), F.col("_cleaned")),
     })
     out = out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
@@ -98,9 +97,8 @@ def assess(docs: DataFrame, text: str = "text") -> DataFrame:
     return out.drop("_text", "_words", "_lines", "_packed", "_full", "_passed", "_near", "_places", "_cleaned", "_left")
 
 
-_PHRASES = " OR ".join(f"contains(lower(l), '{p}')" for p in BOILERPLATE)
-_COUNT = "(length(l) - length(translate(l, '{}', '')))"
-_NW = "len(string_split_regex(trim(l, ' '), '[\\x20\\x09-\\x0D]+'))"
+_BANNERS = " OR ".join(f"contains(lower(l), '{p}')" for p in BOILERPLATE)
+_N = "len(regexp_extract_all(l, '{}'))"
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 #: The same rules in DuckDB's SQL.
@@ -112,12 +110,13 @@ WITH d AS (
   FROM documents
 ), c AS (
   SELECT *, len(ws) AS n_words, length(translate(body, {_BLANK}, '')) AS word_chars,
-    length(body) - length(translate(body, '{SYMBOLS}', '')) AS n_symbols,
+    len(regexp_extract_all(body, '{SYMBOLS}')) AS n_symbols,
     list_filter(ls, lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS full_lines,
     length(translate(array_to_string(list_filter(ls, lambda l: NOT (
-      ({_COUNT.format(SEPARATORS)} >= 2 AND 4 * {_COUNT.format(SEPARATORS)} >= {_NW}) OR ({_COUNT.format(SEPARATORS)} = 1 AND {_NW} <= 4)
-      OR 2 * {_COUNT.format(CODE_MARKS)} > {_NW} OR (2 * {_COUNT.format('!')} > {_NW} AND {_COUNT.format('!')} > 3)
-      OR ({_NW} >= {LIST_WORDS} AND NOT regexp_matches(l, '[.,;:!?…。！？]')) OR (({_PHRASES}) AND {_NW} <= 30))), chr(10)), {_BLANK}, '')) AS left_chars
+      (length(l) <= {BANNER} AND ({_BANNERS}))
+      OR (regexp_matches(l, '{SEPARATORS}') AND {_N.format(SEPARATORS)} * {PER_SEPARATOR} >= length(l))
+      OR (contains(l, '!!') AND {_N.format("!")} * {PER_SHOUT} > length(l)) OR {_N.format(CODE_MARKS)} * {PER_MARK} > length(l)
+      OR (length(l) >= {LIST_CHARS} AND NOT regexp_matches(l, '{SENTENCE_MARKS}')))), chr(10)), {_BLANK}, '')) AS left_chars
   FROM d
 ), win AS (
   SELECT rid, i, ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c FROM (SELECT rid, ws, unnest(range(1, n_words - 1)) AS i FROM c)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netloom.llm import bpe, quality, toxicity
+from netloom.llm import bpe, jaccard, quality, toxicity
 from netloom.llm.packing import pack_documents
 
 
@@ -32,6 +32,11 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents that share nine tenths of their 3-word shingles."""
+    return jaccard.similar(table(spark, sf_dir, "documents"), width=3, threshold=90)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of all documents, learnt from the labelled ones that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -41,6 +46,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op8_jaccard_join": op8_jaccard_join,
     "op10_toxicity": op10_toxicity,
     "op3_quality_rules": op3_quality_rules,
     "op1_byte_bpe": op1_byte_bpe,
