@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netloom.llm import bpe, jaccard, quality, toxicity
+from netloom.llm import bpe, jaccard, quality, repeats, toxicity
 from netloom.llm.packing import pack_documents
 
 
@@ -32,6 +32,12 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the 50-byte strings that a document of a smaller id has as well, as digests."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return repeats.digests(repeats.find_repeats(docs))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents that share nine tenths of their 3-word shingles."""
     return jaccard.similar(table(spark, sf_dir, "documents"), width=3, threshold=90)
@@ -46,6 +52,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op8_jaccard_join": op8_jaccard_join,
     "op10_toxicity": op10_toxicity,
     "op3_quality_rules": op3_quality_rules,
