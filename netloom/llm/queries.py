@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netloom.llm import bpe, jaccard, quality, repeats, toxicity
+from netloom.llm import bpe, jaccard, quality, repeats, resampling, toxicity, warc
 from netloom.llm.packing import pack_documents
 
 
@@ -32,6 +32,18 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of all pages, those marked that a damaged replica's tree locates."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return warc.check(pages, warc.damaged(pages))
+
+
+def op4_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents weighed against those labelled as good, and the draw."""
+    target = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return resampling.resample(table(spark, sf_dir, "documents"), target)
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the 50-byte strings that a document of a smaller id has as well, as digests."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -52,6 +64,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_warc_fixity": op2_warc_fixity,
+    "op4_importance_resampling": op4_importance_resampling,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op8_jaccard_join": op8_jaccard_join,
     "op10_toxicity": op10_toxicity,
@@ -60,5 +74,6 @@ QUERIES = {
     "op5_best_fit_packing": op5_best_fit_packing,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op2_warc_fixity": warc.SQL,
     "op3_quality_rules": quality.SQL,
 }

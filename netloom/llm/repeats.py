@@ -431,3 +431,9 @@ def digests(found: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the SHA-256 of the bytes that stay."""
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def whole_characters(text: str, kept: str):
+    """The bytes that stay as text, characters of which a part went left out; where nothing went, the text itself."""
+    whole = F.regexp_replace(F.make_valid_utf8(F.col(kept).cast("string")), "\ufffd", "")
+    return F.when(F.size("spans") > 0, whole).otherwise(F.col(text))
