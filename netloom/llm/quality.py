@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import SPACE
+from netloom.llm.common import SPACE, written
 
 # Marks and phrases of the line rules.
 SYMBOLS = "[#*$%&|<>]"
@@ -97,6 +97,16 @@ def assess(docs: DataFrame, text: str = "text") -> DataFrame:
     return out.drop("_text", "_words", "_lines", "_packed", "_full", "_passed", "_near", "_places", "_cleaned", "_left")
 
 
+def clean(docs: DataFrame) -> DataFrame:
+    """The documents that are kept, their text cleaned; the columns of docs.
+
+    The verdicts are written first: a filter on them would be pushed below the arrays that they come from, and those
+    computed anew for each of their elements.
+    """
+    judged = written(assess(docs).select(*(F.col("cleaned").alias("text") if c == "text" else F.col(c) for c in docs.columns), F.col("kept").alias("_kept")))
+    return judged.where("_kept").drop("_kept")
+
+
 _BANNERS = " OR ".join(f"contains(lower(l), '{p}')" for p in BOILERPLATE)
 _N = "len(regexp_extract_all(l, '{}'))"
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
