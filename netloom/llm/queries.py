@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netloom.llm import bpe, jaccard, quality, repeats, resampling, toxicity, warc
+from netloom.llm import bpe, jaccard, near, quality, repeats, resampling, toxicity, warc
 from netloom.llm.packing import pack_documents
 
 
@@ -50,6 +50,11 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digests(repeats.find_repeats(docs))
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, components and survivors of all embeddings at a cosine of 0.95."""
+    return near.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents that share nine tenths of their 3-word shingles."""
     return jaccard.similar(table(spark, sf_dir, "documents"), width=3, threshold=90)
@@ -64,6 +69,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op2_warc_fixity": op2_warc_fixity,
     "op4_importance_resampling": op4_importance_resampling,
     "op6_suffix_dedup": op6_suffix_dedup,
