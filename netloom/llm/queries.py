@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netloom.llm import bpe, jaccard, near, quality, repeats, resampling, toxicity, warc
+from netloom.llm import bpe, jaccard, licences, near, quality, repeats, resampling, toxicity, warc
 from netloom.llm.packing import pack_documents
 
 
@@ -60,6 +60,11 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar(table(spark, sf_dir, "documents"), width=3, threshold=90)
 
 
+def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence families of all documents."""
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of all documents, learnt from the labelled ones that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -69,6 +74,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op9_licence_scan": op9_licence_scan,
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op2_warc_fixity": op2_warc_fixity,
     "op4_importance_resampling": op4_importance_resampling,
