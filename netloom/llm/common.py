@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
 import sys
-import tempfile
-import uuid
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
+
+from netloom.operators.graph import components
+from netloom.plans.scratch import checkpoint_dir, drop, written
+
+__all__ = ["SPACE", "checkpoint_dir", "components", "drop", "partitions", "ship", "tune", "written"]
 
 #: White space between words is 0x20 and 0x09-0x0D in every contract; bytes.split() cuts at the same six bytes.
 SPACE = r"\x20\x09-\x0D"
@@ -31,70 +30,5 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names in spark.checkpoint.dir; a folder of our own only where it is unset (local runs, tests)."""
-    conf = spark.sparkContext.getConf()
-    path = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
-    if not path:
-        path = os.path.join(tempfile.gettempdir(), "checkpoints", f"netloom-{os.getpid()}")
-        atexit.register(shutil.rmtree, path, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back: lineage is cut, and no executor's loss takes rows with it."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/netloom-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.netloom_path = path
-    return out
-
-
-def drop(df: DataFrame) -> None:
-    """Deletes a table of written() that nothing reads any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.netloom_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(id, component): the smallest id reachable from each id that ``links`` (a, b) names.
-
-    Large-star / small-star rounds over a written edge table; every round is one shuffle for each star,
-    aggregates before it groups, and never gathers a component in one task.
-    """
-    edges = written(
-        links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    )
-    for _ in range(rounds):
-        # each node points at the smallest node it touches; larger neighbours are passed on to that node
-        both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = (
-            large.join(low, "a")
-            .select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-            .select("e.a", "e.b")
-            .where("a <> b")
-            .distinct()
-        )
-        after = written(small)
-        # a forest of stars no longer changes: no node that is pointed at points on, and each points at one
-        busy = after.join(after.select(F.col("b").alias("a")).distinct(), "a", "left_semi").limit(1).count()
-        split = busy or after.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-        drop(edges)
-        edges = after
-        if not split:
-            break
-    else:
-        raise RuntimeError("connected components did not settle")
-    stars = edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    return stars.unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
