@@ -5,7 +5,7 @@ share at least l of the first |x| - ceil(t|x|) + l shingles of either, for every
 shingle counts make cheapest and publishes that prefix. Documents of equal sets are one class, by a digest, and only the
 class's smallest id goes on. Prefix shingles are first matched with the smallest id that publishes them, which ties
 groups of near copies together by a star and not by all their pairs; then every pair of *different* components that
-shares enough prefix shingles is verified, which is exact, as pairs within a component can't change it.
+shares enough prefix shingles, and whose sizes and parity signs allow it, is verified, which is exact, as pairs within a component can't change it.
 """
 
 from __future__ import annotations
@@ -28,6 +28,9 @@ SLOTS, CHUNKS = 1 << 20, 16
 REMEMBERED = 500_000
 #: Longest extension of a prefix, and how many shingles' scan one verification costs.
 MOST_MATCHES, VERIFY_COST = 4, 6.0
+SIGN_BITS = 1024
+#: Documents of one prefix shingle that one task compares; more are compared chunk by chunk in as many tasks as it takes.
+CHUNK = 4096
 #: Documents verified against one other in a task.
 STAR = 200
 
@@ -59,6 +62,11 @@ def shingles(data: bytes | None, hashes: Hashes, width: int) -> np.ndarray:
     return np.unique(out)
 
 
+def sign(own: np.ndarray) -> bytes:
+    """Parity of the set's members by slot: two sets differ in as many members at least as their signs in bits."""
+    return np.packbits(np.bincount((own >> np.uint64(20)).astype(np.int64) % SIGN_BITS, minlength=SIGN_BITS).astype(np.uint8) & 1).tobytes()
+
+
 def needed(n: int, threshold: int) -> int:
     """Least overlap of a set of n with any set similar to it."""
     return -(-threshold * n // 100)
@@ -69,18 +77,18 @@ def _profiles(width: int):
         import zstandard
 
         hashes, total = Hashes(), np.zeros(SLOTS, np.int64)
-        names, types = ["doc_id", "n", "key", "chunk", "counts"], [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
+        names, types = ["doc_id", "n", "key", "sign", "chunk", "counts"], [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
         rows = lambda *c: pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(c, types, strict=True)], names=names)
         for batch in batches:
             sets = [shingles(x.as_py(), hashes, width) for x in batch.column(1).cast(pa.binary())]
             if sets:
                 total += np.bincount((np.concatenate(sets) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
             none = [None] * len(sets)
-            yield rows(batch.column(0).to_pylist(), [len(s) for s in sets], [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], none, none)
+            yield rows(batch.column(0).to_pylist(), [len(s) for s in sets], [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], [sign(s) for s in sets], none, none)
         pack = zstandard.ZstdCompressor().compress
         parts = [pack(part.tobytes()) for part in np.split(total, CHUNKS)]
         none = [None] * CHUNKS
-        yield rows(none, none, none, list(range(CHUNKS)), parts)
+        yield rows(none, none, none, none, list(range(CHUNKS)), parts)
 
     return scan
 
@@ -153,6 +161,50 @@ def _shared(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (token, rep, n, many, lead_rep, lead_n, lead_many)], names=["token", "rep", "n", "many", "lead", "lead_n", "lead_many"])
 
 
+def _meetings(threshold: int):
+    """Of rows sorted by token and part, the pairs of different components that size and sign let be similar."""
+
+    def meet(batches):
+        held: list[pa.RecordBatch] = []
+
+        def pairs(table):
+            token, low, high, side, rep, n, many, label = (table.column(c).to_numpy() for c in ("token", "low", "high", "side", "rep", "n", "many", "label"))
+            signs = np.frombuffer(b"".join(table.column("sign").to_pylist()), np.uint64).reshape(len(token), -1)
+            for lag in range(1, len(token)):
+                a = np.nonzero((token[lag:] == token[:-lag]) & (low[lag:] == low[:-lag]) & (high[lag:] == high[:-lag]))[0]
+                if not len(a):
+                    break
+                b = a + lag
+                size = n[a] + n[b]
+                ok = (label[a] != label[b]) & (100 * np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b])) & ((low[a] == high[a]) | (side[a] != side[b]))
+                a, b, size = a[ok], b[ok], size[ok]
+                unlike = np.bitwise_count(signs[a] ^ signs[b]).sum(axis=1, dtype=np.int64)
+                ok = (100 + threshold) * unlike <= (100 - threshold) * size
+                a, b = a[ok], b[ok]
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[a], rep[b])), pa.array(np.maximum(rep[a], rep[b])), pa.array(np.minimum(many[a], many[b]))], names=["a", "b", "many"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = [batch.column(c).to_numpy() for c in ("token", "low", "high")]
+            edge = np.nonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in key]))[0]
+            last = [h.column(c)[-1].as_py() for h in held[-1:] for c in ("token", "low", "high")]
+            if held and last != [k[0] for k in key]:
+                yield from pairs(pa.Table.from_batches(held).combine_chunks())
+                held = []
+            if len(edge):
+                held.append(batch.slice(0, edge[-1] + 1))
+                yield from pairs(pa.Table.from_batches(held).combine_chunks())
+                held = []
+                batch = batch.slice(edge[-1] + 1)
+            held.append(batch)
+        if held:
+            yield from pairs(pa.Table.from_batches(held).combine_chunks())
+
+    return meet
+
+
 def _verified(width: int, threshold: int):
     def check(group: pa.Table) -> pa.Table:
         hashes, sets = Hashes(), defaultdict(list)
@@ -194,12 +246,13 @@ def similar(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
     spark = docs.sparkSession
     tune(spark)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    seen = written(docs.mapInArrow(_profiles(width), "doc_id long, n long, key binary, chunk int, counts binary"))
+    seen = written(docs.mapInArrow(_profiles(width), "doc_id long, n long, key binary, sign binary, chunk int, counts binary"))
     total = np.zeros(SLOTS, np.int64)  # SLOTS numbers, however many documents there are
     for row in seen.where("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInArrow(_summed, "chunk int, counts binary").collect():
         total[row["chunk"] * (SLOTS // CHUNKS) : (row["chunk"] + 1) * (SLOTS // CHUNKS)] = np.frombuffer(row["counts"], np.int64)
     rows = seen.where("chunk is null").select("doc_id", "n", "key")
-    classes = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"))
+    signs = seen.where("chunk is null and n > 0")
+    classes = written(signs.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("sign").alias("sign")))
     spread = spark.sparkContext.broadcast(total)
     prefixes = docs.mapInArrow(_prefixes(width, threshold, spread), "rep long, n long, many int, tokens array<long>")
     tokens = prefixes.join(classes.select("rep"), "rep", "left_semi").select(F.explode("tokens").alias("token"), "rep", "n", "many")
@@ -219,20 +272,20 @@ def similar(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
 
     named = shared.select("token", "rep", "n", "many").join(near.withColumnRenamed("id", "rep"), "rep", "left")
     named = written(named.select("token", "rep", "n", "many", F.coalesce("component", "rep").alias("label")))
-    mixed = named.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
-    mixed = written(named.join(mixed, "token", "left_semi"))
-    labels = mixed.select("token", "label").distinct()
-    meet = labels.withColumnRenamed("label", "la").join(labels.withColumnRenamed("label", "lb"), "token").where("la < lb")
-    left = mixed.select("token", F.col("label").alias("la"), F.col("rep").alias("a"), F.col("n").alias("na"), F.col("many").alias("ma"))
-    right = mixed.select("token", F.col("label").alias("lb"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("many").alias("mb"))
-    pairs = meet.join(left, ["token", "la"]).join(right, ["token", "lb"]).where(alike(F.col("na"), F.col("nb")))
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("k"), F.min(F.least("ma", "mb")).alias("many")).where("k >= many").select("a", "b")
+    mixed = named.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("f")).where("lo < hi")
+    parts = F.ceil(F.col("f") / CHUNK).cast("int")
+    mixed = named.join(mixed.select("token", parts.alias("parts")), "token").join(classes.select("rep", "sign"), "rep")
+    mixed = mixed.withColumn("side", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    mixed = mixed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    mixed = mixed.select("token", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "rep", "n", "many", "label", "sign")
+    pairs = mixed.repartition(partitions(spark), "token", "low", "high").sortWithinPartitions("token", "low", "high").mapInArrow(_meetings(threshold), "a long, b long, many int")
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("k"), F.min("many").alias("many")).where("k >= many").select("a", "b")
     # what the stars have compared need not be compared again
     pairs = pairs.join(stars, ["a", "b"], "left_anti").join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
     second = _links(written(pairs), one_text, width, threshold)
     final = components(first.unionByName(second))
 
-    classed = rows.where("n > 0").join(classes, "key").select("doc_id", "n", F.col("rep").alias("class_id"))
+    classed = rows.where("n > 0").join(classes.drop("sign"), "key").select("doc_id", "n", F.col("rep").alias("class_id"))
     classed = classed.join(final.withColumnRenamed("id", "class_id"), "class_id", "left")
     out = classed.select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("component", "class_id").alias("component_id"))
     empty = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))

@@ -49,6 +49,14 @@ def test_against_all_pairs(spark, seed, width, threshold):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out.collect()) == brute(docs, width, threshold)
 
 
+def test_large_groups_are_met_chunk_by_chunk(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "CHUNK", 3)
+    monkeypatch.setattr(jaccard, "STAR", 4)
+    docs = made(9, 90)
+    out = jaccard.similar(spark.createDataFrame(docs, "doc_id long, text string"), 2, 60)
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out.collect()) == brute(docs, 2, 60)
+
+
 def test_empty_table_and_repeated_rows(spark):
     assert jaccard.similar(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     rows = [(7, "a b c d e f"), (7, "a b c d e f"), (3, "A b c d e f"), (9, "x")]
