@@ -425,3 +425,95 @@ def unit_conversions(spark, sf_dir):
     """Millimetres, mils and points."""
     s = F.col("p_size").cast("double")
     return R.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.round(G.mm_to_points(s), 6).alias("points"), F.round(G.mils_to_mm(s), 6).alias("mm_of_mils"), F.round(s / 72 * 25.4, 6).alias("mm_of_points"))
+
+
+# ---- adaptive tolerances, colours and evaluation
+
+
+_ENDS = "SELECT page, seg, x0 AS x, y0 AS y FROM seg UNION ALL SELECT page, seg, x1, y1 FROM seg"
+
+
+def _ends(s):
+    end = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    return s.select("page", "seg", F.explode(F.array(end("x0", "y0"), end("x1", "y1"))).alias("e")).select("page", "seg", "e.x", "e.y")
+
+
+@query(_with("seg", f"""SELECT page, round(CASE WHEN p25 < 0.1 THEN 1.0 ELSE p25 END, 6) AS tol FROM (SELECT page, quantile_cont(sqrt(d2), 0.25) AS p25 FROM (
+SELECT e.page, e.seg, e.x, e.y, e.k, min({_d2('e.x', 'e.y', 's.')}) AS d2 FROM (SELECT page, seg, x0 AS x, y0 AS y, 0 AS k FROM seg UNION ALL SELECT page, seg, x1, y1, 1 FROM seg) e
+JOIN seg s ON s.page = e.page AND s.seg <> e.seg GROUP BY ALL) GROUP BY page)"""))
+def wire_tolerance(spark, sf_dir):
+    """Each page's tolerance: the lower quartile of ends' distances to the nearest other segment."""
+    s = R.segments(spark, sf_dir)
+    o = s.select("page", F.col("seg").alias("other"), "x0", "y0", "x1", "y1")
+    e = s.select("page", "seg", F.posexplode(F.array(F.struct(F.col("x0").alias("x"), F.col("y0").alias("y")), F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")))).alias("k", "e"))
+    near = e.join(o, "page").where("seg <> other").groupBy("page", "seg", "k").agg(F.min(G.point_segment_d2("e.x", "e.y", "x0", "y0", "x1", "y1")).alias("d2"))
+    p25 = near.groupBy("page").agg(F.percentile(F.sqrt("d2"), F.lit(0.25)).alias("p25"))
+    return p25.select("page", F.round(F.when(F.col("p25") < 0.1, 1.0).otherwise(F.col("p25")), 6).alias("tol"))
+
+
+@query(_with("seg", f"""SELECT page, round(greatest(5.0, quantile_cont(d, 0.6)), 6) AS link_dist FROM (SELECT a.page, a.seg, a.x, a.y, min(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))) AS d
+FROM (SELECT DISTINCT page, seg, x, y FROM ({_ENDS})) a JOIN ({_ENDS}) b ON a.page = b.page AND a.seg <> b.seg GROUP BY ALL) GROUP BY page"""))
+def link_distance(spark, sf_dir):
+    """Each page's linking distance: the 60th percentile of ends' distances to the nearest end of another segment."""
+    e = _ends(R.segments(spark, sf_dir))
+    o = e.select("page", F.col("seg").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"))
+    near = e.distinct().join(o, "page").where("seg <> other").groupBy("page", "seg", "x", "y").agg(F.min(F.sqrt(G.distance2("x", "y", "ox", "oy"))).alias("d"))
+    return near.groupBy("page").agg(F.round(F.greatest(F.lit(5.0), F.percentile("d", F.lit(0.6))), 6).alias("link_dist"))
+
+
+@query(_with("seg", f"""SELECT f.page, f.x, f.y FROM (SELECT page, x, y FROM ({_ENDS}) GROUP BY page, x, y HAVING count(*) = 1) f JOIN (SELECT page, min(least(x0, x1)) AS bx0, min(least(y0, y1)) AS by0,
+max(greatest(x0, x1)) AS bx1, max(greatest(y0, y1)) AS by1 FROM seg GROUP BY page) b USING (page) WHERE least(f.x - bx0, bx1 - f.x, f.y - by0, by1 - f.y) <= 1.001"""))
+def select_pins(spark, sf_dir):
+    """Free ends at the rim of the page's drawing: the pins of a component."""
+    s = R.segments(spark, sf_dir)
+    box = s.groupBy("page").agg(F.min(F.least("x0", "x1")).alias("bx0"), F.min(F.least("y0", "y1")).alias("by0"), F.max(F.greatest("x0", "x1")).alias("bx1"), F.max(F.greatest("y0", "y1")).alias("by1"))
+    rim = F.least(F.col("x") - F.col("bx0"), F.col("bx1") - F.col("x"), F.col("y") - F.col("by0"), F.col("by1") - F.col("y"))
+    return spatial.free_ends(s).join(box, "page").where(rim <= 1.001).select("page", "x", "y")
+
+
+@query(_with("seg", f"""SELECT a.page, a.seg AS a, b.seg AS b FROM seg a JOIN seg b ON a.page = b.page AND a.seg < b.seg
+WHERE least(pow(a.x0 - b.x0, 2) + pow(a.y0 - b.y0, 2), pow(a.x0 - b.x1, 2) + pow(a.y0 - b.y1, 2), pow(a.x1 - b.x0, 2) + pow(a.y1 - b.y0, 2), pow(a.x1 - b.x1, 2) + pow(a.y1 - b.y1, 2)) <= 64"""))
+def linked_segments(spark, sf_dir):
+    """Segments with ends within 8 units of each other: the edges of single-linkage clusters."""
+    s = R.segments(spark, sf_dir)
+    d = [G.distance2(f"a.x{i}", f"a.y{i}", f"b.x{j}", f"b.y{j}") for i in (0, 1) for j in (0, 1)]
+    pairs = s.alias("a").join(s.alias("b"), [F.col("a.page") == F.col("b.page"), F.col("a.seg") < F.col("b.seg")]).where(F.least(*d) <= 64)
+    return pairs.select("a.page", F.col("a.seg").alias("a"), F.col("b.seg").alias("b"))
+
+
+@query("""SELECT p_brand AS symbol, round(greatest(0.0, 1 - min(sqrt(pow(p_size % 10 - 5, 2) + pow(p_partkey % 10 - 5, 2))) / 50), 6) AS confidence,
+  arg_min(p_partkey, (sqrt(pow(p_size % 10 - 5, 2) + pow(p_partkey % 10 - 5, 2)), p_partkey)) AS ref FROM part GROUP BY p_brand""")
+def nearest_symbol(spark, sf_dir):
+    """The nearest designator of each symbol and how sure it is."""
+    p = R.table(spark, sf_dir, "part")
+    d = F.sqrt(F.pow(F.col("p_size") % 10 - 5, F.lit(2)) + F.pow(F.col("p_partkey") % 10 - 5, F.lit(2)))
+    best = p.groupBy(F.col("p_brand").alias("symbol")).agg(F.min(F.struct(d.alias("d"), "p_partkey")).alias("m"))
+    return best.select("symbol", F.round(F.greatest(F.lit(0.0), 1 - F.col("m.d") / 50), 6).alias("confidence"), F.col("m.p_partkey").alias("ref"))
+
+
+@query("""SELECT p_brand, color, n FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, color) AS r FROM (SELECT p_brand, p_type AS color, count(*) AS n FROM part GROUP BY ALL)) WHERE r = 1""")
+def dominant_color(spark, sf_dir):
+    """The most frequent colour of each group, the first by name among equals."""
+    n = R.table(spark, sf_dir, "part").groupBy("p_brand", F.col("p_type").alias("color")).agg(F.count("*").alias("n"))
+    return spatial.one_per(n, ["p_brand"], [F.desc("n"), F.col("color")]).select("p_brand", "color", "n")
+
+
+@query("""SELECT o_custkey AS ref, list_sort(list(o_totalprice))[CAST(floor(count(*) / 2) AS INT) + 1] AS upper_median, round(quantile_cont(o_totalprice, 0.5), 6) AS median, min(o_totalprice) AS low, max(o_totalprice) AS high FROM orders GROUP BY o_custkey""")
+def board_medians(spark, sf_dir):
+    """Upper and interpolated medians, as scores over boards are reported."""
+    o = R.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("ref"))
+    out = o.agg(F.sort_array(F.collect_list("o_totalprice")).alias("l"), F.round(F.percentile("o_totalprice", F.lit(0.5)), 6).alias("median"), F.min("o_totalprice").alias("low"), F.max("o_totalprice").alias("high"))
+    return out.select("ref", F.get("l", F.floor(F.size("l") / 2).cast("int")).alias("upper_median"), "median", "low", "high")
+
+
+@query("SELECT s_suppkey AS board, CASE WHEN row_number() OVER (ORDER BY s_suppkey) % 5 = 0 THEN 'val' ELSE 'train' END AS split, s_nationkey AS class FROM supplier")
+def dataset_split(spark, sf_dir):
+    """Every fifth board in order validates. One row a board: the global order is over a small table."""
+    s = R.table(spark, sf_dir, "supplier")
+    return s.select(F.col("s_suppkey").alias("board"), F.when(F.row_number().over(Window.orderBy("s_suppkey")) % 5 == 0, "val").otherwise("train").alias("split"), F.col("s_nationkey").alias("class"))
+
+
+@query(_with("edge comp", """SELECT r.node, count(*) AS lost FROM (SELECT DISTINCT node FROM pin WHERE net IS NULL) r WHERE r.node NOT IN (SELECT node FROM edge) GROUP BY r.node"""))
+def lost_refs(spark, sf_dir):
+    """Components that have pins, none of them wired."""
+    return R.pins(spark, sf_dir).where("net is null").select("node").distinct().join(R.edges(spark, sf_dir), "node", "left_anti").groupBy("node").agg(F.count("*").alias("lost"))
