@@ -91,10 +91,10 @@ def component_info(spark, sf_dir):
     return joined.groupBy("node", "ref", "value", F.col("class_name").alias("component_type")).agg(F.count("net").alias("num_pins"), F.min("net").alias("first_net"))
 
 
-@query(_with("comp", "SELECT node, value FROM comp WHERE value <> '' AND regexp_matches(value, '(?i)PART.*7$|small.*7$|7$')"))
+@query(_with("comp", "SELECT node, value FROM comp WHERE value <> '' AND regexp_matches(value, '(?i)RING$|w.dget')"))
 def search_by_value(spark, sf_dir):
     """Components whose value meets a pattern, whatever its case."""
-    return R.components(spark, sf_dir).where((F.col("value") != "") & F.col("value").rlike("(?i)PART.*7$|small.*7$|7$")).select("node", "value")
+    return R.components(spark, sf_dir).where((F.col("value") != "") & F.col("value").rlike("(?i)RING$|w.dget")).select("node", "value")
 
 
 @query(_with("comp edge net", """SELECT 'error' AS severity, 'ISOLATED_COMPONENT' AS rule, node AS item FROM comp WHERE node NOT IN (SELECT node FROM edge)
