@@ -23,7 +23,7 @@ from netloom.llm.common import ship, tune, written
 ship(__name__)
 
 #: A block ends after so many bytes of text; hashes are taken over so many positions at a time.
-BLOCK_BYTES, SLICE = 12 << 20, 1 << 20
+BLOCK_BYTES, SLICE = 3 << 20, 1 << 18
 PART = 24
 NO_ID = np.iinfo(np.int64).max
 
@@ -118,14 +118,9 @@ def suffix_order(text: np.ndarray, wanted: np.ndarray, length: int) -> np.ndarra
     than its successor, that successor as well.
     """
     n = len(text)
-    differs = np.nonzero(text[1:] != text[:-1])[0]
-    next_change = np.full(n, n - 1, np.int64)
-    if len(differs):
-        at = np.searchsorted(differs, np.arange(n - 1))
-        known = at < len(differs)
-        next_change[: n - 1][known] = differs[at[known]]
-    after = np.minimum(next_change + 1, n - 1)
-    larger = text > text[after]  # than the successor: equal bytes go by the end of their run
+    edge = np.append(np.nonzero(text[1:] != text[:-1])[0], n - 1)
+    falls = np.append(text[edge[:-1]] > text[edge[:-1] + 1], False)
+    larger = np.repeat(falls, np.diff(np.concatenate([[-1], edge])))  # than the successor: equal bytes go by the end of their run
     keys = np.ndarray((n - 7,), ">u8", buffer=text.tobytes(), strides=(1,))
     direct = prefix_order(keys, np.nonzero(wanted & ~larger)[0], length)
     bounds = np.searchsorted(text[direct], np.arange(257))
@@ -291,6 +286,8 @@ def _stretches(length: int, buckets: int):
     def cut(docs: pa.Table, shared: pa.Table) -> pa.Table:
         import zstandard
 
+        pa.default_memory_pool().release_unused()
+
         names = ["block", "bucket", "check", "stretches", "low", "high"]
         types = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
         ids, texts = _ids(docs.column("doc_id")), _texts(docs.column("text"))
@@ -331,6 +328,8 @@ def _matched(length: int):
         import xxhash
         import zstandard
 
+        pa.default_memory_pool().release_unused()
+
         unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
         runs = [unpack(x).split(b"\xff") for x in asked.column("stretches").to_pylist()]
         low, high = ([np.frombuffer(unpack(x), np.int64) for x in asked.column(c).to_pylist()] for c in ("low", "high"))
@@ -356,6 +355,8 @@ def _cut(length: int):
         import xxhash
         import zstandard
 
+        pa.default_memory_pool().release_unused()
+
         ids, texts = _ids(docs.column("doc_id")), _texts(docs.column("text"))
         if texts:
             _agree(_check_set(ids, texts), answers)
@@ -415,7 +416,7 @@ def find_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
         docs = written(docs)
     docs = docs.drop("n_bytes", "spans", "kept", "_block")
     size = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    buckets = min(max(64, docs.rdd.getNumPartitions() * max(4, size >> 22)), 1 << 16)
+    buckets = min(max(64, docs.rdd.getNumPartitions() * max(16, size >> 20)), 1 << 16)
     plain = lambda fields: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     rows = docs.mapInArrow(_row_blocks(docs.columns.index("text")), plain(docs.schema.fields) + ", _block long")
     sketches = rows.select("doc_id", "text", "_block").mapInArrow(_sketches(length, buckets), "block long, bucket int, check long, parts binary, many binary")
