@@ -23,7 +23,7 @@ from netloom.llm.common import ship, tune
 ship(__name__)
 
 #: Bounds of the sample of labelled rows that training reads: toxic documents, clean documents.
-TOXIC_SAMPLE, CLEAN_SAMPLE = 1500, 2500
+TOXIC_SAMPLE, CLEAN_SAMPLE = 1000, 2500
 LANDMARKS, DECAY, SPAN, LONGEST = 144, 0.6, 7, 24
 GAPS = [(a, b) for a in range(1, SPAN) for b in range(1, SPAN) if a + b < SPAN]
 LETTERS = 64  # a-z are 1 to 26, a word's start and end 27 and 28; all other letters share the classes above; 0 fills up
@@ -148,7 +148,9 @@ def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
 
 def train(texts: list[str], toxic: list[int], rounds: int = 3) -> Machine | None:
     """A machine from labelled texts; None if either label is missing."""
-    bags, flags = [instances(t) for t in texts], np.array(toxic, bool)
+    one: dict[str, str] = {}
+    bags, flags = [{one.setdefault(w, w) for w in instances(t)} for t in texts], np.array(toxic, bool)
+    del one
     if not flags.any() or flags.all():
         return None
     # a quarter of either label calibrates: its words are as new to the machine as those of other documents
@@ -172,9 +174,8 @@ def train(texts: list[str], toxic: list[int], rounds: int = 3) -> Machine | None
     common = [w for w, _ in seen.most_common(1500)]
     marks = [w for w, _ in sorted(Counter(chosen).items(), key=lambda x: (-x[1], x[0]))[: 2 * LANDMARKS // 3]]
     marks += [common[i] for i in sorted(rng.permutation(len(common))[: LANDMARKS - len(marks)])]
-    tables = [subsequences(m) for m in marks]
-    near = lambda words: np.stack([kernel(words, t) for t in tables], axis=1).astype(float)
-    value, vector = np.linalg.eigh(near(marks) + 1e-3 * np.eye(len(marks)))
+    near = lambda words: np.stack([kernel(words, subsequences(m)) for m in marks], axis=1)
+    value, vector = np.linalg.eigh(near(marks).astype(float) + 1e-3 * np.eye(len(marks)))
     root = vector / np.sqrt(np.maximum(value, 1e-2)) @ vector.T
 
     def inserted(word):
@@ -193,7 +194,9 @@ def train(texts: list[str], toxic: list[int], rounds: int = 3) -> Machine | None
         y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
         w = squared_hinge(x, y, np.concatenate([times / times.sum(), 4 * heavy / heavy.sum()]) * 10_000)
         beta = root @ w[:-1]
-        weights = sum(b * t for b, t in zip(beta, tables, strict=True)).astype(np.float32)
+        weights = np.zeros(LETTERS**3, np.float32)
+        for b, m in zip(beta, marks, strict=True):
+            weights += np.float32(b) * subsequences(m)
         machine = Machine(weights, float(w[-1]), np.zeros(3))
         margin = dict(zip(vocabulary, machine.margins(vocabulary).tolist(), strict=True))
         if turn < rounds - 1:
@@ -232,7 +235,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Machine | None:
     chosen = known.where("toxic = 1").orderBy(pick, "doc_id").limit(TOXIC_SAMPLE).unionByName(known.where("toxic = 0").orderBy(pick, "doc_id").limit(CLEAN_SAMPLE))
     rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return train([r["text"] for r in rows], [r["toxic"] for r in rows])
+    texts, toxic = [r["text"] for r in rows], [r["toxic"] for r in rows]
+    del rows
+    return train(texts, toxic)
 
 
 def score(docs: DataFrame, machine: Machine | None, threshold: float = THRESHOLD) -> DataFrame:
