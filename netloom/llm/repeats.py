@@ -239,7 +239,7 @@ def _sketches(length: int, buckets: int):
                 ], names=["block", "bucket", "check", "parts", "many"])
 
         block, ids, texts = None, [], []
-        for batch in batches:
+        for batch in _row_blocks(1)(batches):  # in one worker with what follows, as a worker's memory counts twice over
             new, doc, data = batch.column("_block").to_numpy(), _ids(batch.column("doc_id")), _texts(batch.column("text"))
             for b in np.unique(new):
                 if b != block:
@@ -282,6 +282,12 @@ def _agree(check: int, *tables: pa.Table) -> None:
         raise RuntimeError("the input gave other rows when it was read again; give a written table")
 
 
+def _order(ids: np.ndarray, texts: list[bytes]) -> list[int]:
+    """One order of a block's rows, which come out of a shuffle in any; the places of runs hang on it."""
+    numbers = ids.tolist()
+    return sorted(range(len(texts)), key=lambda i: (numbers[i], texts[i]))
+
+
 def _stretches(length: int, buckets: int):
     def cut(docs: pa.Table, shared: pa.Table) -> pa.Table:
         import zstandard
@@ -293,7 +299,7 @@ def _stretches(length: int, buckets: int):
         ids, texts = _ids(docs.column("doc_id")), _texts(docs.column("text"))
         if not texts or not shared.num_rows:
             return pa.table([pa.array([], t) for t in types], names=names)
-        order = np.lexsort((np.array([zlib.crc32(t) for t in texts]), ids))  # rows come in any order out of a shuffle
+        order = _order(ids, texts)
         check = _check_set(ids, texts)
         _agree(check, shared)
         ids, texts = ids[order], [texts[i] for i in order]
@@ -360,6 +366,8 @@ def _cut(length: int):
         ids, texts = _ids(docs.column("doc_id")), _texts(docs.column("text"))
         if texts:
             _agree(_check_set(ids, texts), answers)
+            order = _order(ids, texts)
+            docs, ids, texts = docs.take(order), ids[order], [texts[i] for i in order]
         own, unpack, where, firsts, base = Text(texts, length), zstandard.ZstdDecompressor().decompress, {}, [], 0
         keys = [np.frombuffer(k, np.uint64).tolist() for k in answers.column("keys").to_pylist()]
         hit = np.zeros(len(own.data) + 1, np.int32)
@@ -419,7 +427,7 @@ def find_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     buckets = min(max(64, docs.rdd.getNumPartitions() * max(16, size >> 20)), 1 << 16)
     plain = lambda fields: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     rows = docs.mapInArrow(_row_blocks(docs.columns.index("text")), plain(docs.schema.fields) + ", _block long")
-    sketches = rows.select("doc_id", "text", "_block").mapInArrow(_sketches(length, buckets), "block long, bucket int, check long, parts binary, many binary")
+    sketches = docs.select("doc_id", "text").mapInArrow(_sketches(length, buckets), "block long, bucket int, check long, parts binary, many binary")
     shared = sketches.groupBy("bucket").applyInArrow(_common, "block long, check long, values binary")
     grouped = rows.groupBy("_block")
     cut = grouped.cogroup(shared.groupBy("block")).applyInArrow(_stretches(length, buckets), "block long, bucket int, check long, stretches binary, low binary, high binary")

@@ -53,6 +53,15 @@ def test_against_all_strings(spark, monkeypatch, seed, block):
     assert run(spark, docs) == brute(docs, LENGTH)
 
 
+def test_runs_cut_by_slices_with_rows_in_any_order(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "SLICE", 97)
+    docs = made(7)
+    random.Random(1).shuffle(docs)
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    out = sorted((tuple(x) for x in repeats.digests(repeats.find_repeats(frame)).collect()), key=str)
+    assert out == brute(docs, LENGTH)
+
+
 def test_rows_out_of_a_shuffle_and_empty_table(spark):
     docs = made(4)
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3, "doc_id")
