@@ -3,8 +3,8 @@
 Equal vectors are one class and only its smallest id goes on. A shard's vectors are linked into a hierarchy of graphs:
 every vector is on the ground level, one in BRANCH on the next, and so on; inserts and searches run for many vectors at
 a time. Every vector is looked up in every shard's graph (two shards once, from one side). A task compares a sample of
-its look-ups with all vectors of the shard and widens the beam until it finds what they find; a look-up whose beam is
-full of matches is widened by itself, at last to the whole shard. Pairs are verified by cosine in double precision.
+its look-ups with all vectors of the shard; where the graph misses what they find, all its look-ups scan the shard, and
+otherwise those whose beam is half full of matches do. Pairs are verified by cosine in double precision.
 """
 
 from __future__ import annotations
@@ -21,9 +21,9 @@ ship(__name__)
 #: Vectors of a shard, and look-ups of a task.
 SHARD, LOOKUPS = 32_768, 4096
 LINKS, KEEP, BUILD_BEAM, BEAM, BRANCH, BATCH = 24, 12, 48, 48, 16, 512
-#: Look-ups that an audit compares with the whole shard, and the recall that it asks for.
-AUDIT, RECALL = 128, 0.995
-SLACK = 1e-3  # of single-precision similarities
+#: Look-ups that an audit compares with the whole shard, the recall that it asks for, and the neighbours that each has at least.
+AUDIT, RECALL, NEAREST = 128, 0.995, 8
+SLACK, TIE = 1e-3, 1e-5  # of single-precision similarities
 
 
 def search(vectors: np.ndarray, links: np.ndarray, entry: np.ndarray, queries: np.ndarray, beam: int, at_once: int = 3) -> tuple[np.ndarray, np.ndarray]:
@@ -130,38 +130,38 @@ class Graph:
         return search(self.vectors, self.links[0], self.entries(queries, 0), queries, min(beam, len(self.vectors)))
 
 
+def trusted(graph: Graph, queries: np.ndarray, least: float) -> bool:
+    """Whether the graph finds what a scan of the whole shard finds for these look-ups, dense groups' included.
+
+    Each has to come upon its matches, as many as the beam holds, and its NEAREST vectors whatever their similarity, so
+    that there is something to find where nothing matches.
+    """
+    best = -np.sort(-(queries @ graph.vectors.T), axis=1)[:, :BEAM]
+    want = np.clip((best >= least).sum(axis=1), NEAREST, BEAM)
+    last = np.take_along_axis(best, want[:, None] - 1, 1)
+    found = graph.find(queries, BEAM)[1]
+    got = np.minimum((found >= last - TIE).sum(axis=1), want)
+    return got.sum() >= RECALL * want.sum() and (got / want).mean() >= RECALL
+
+
 def lookup(graph: Graph, queries: np.ndarray, least: float) -> list[np.ndarray]:
     """For each query, the places of the vectors at least so similar, by single precision."""
     out: list[np.ndarray] = [None] * len(queries)
     n = len(graph.vectors)
     sample = np.linspace(0, len(queries) - 1, min(AUDIT, len(queries))).astype(int)
-    truth = queries[sample] @ graph.vectors.T >= least
-    beam = BEAM
-    while beam < n // 4:  # the audit
-        ids, sims = graph.find(queries[sample], beam)
-        want, got = 0, 0
-        for t, row, s in zip(truth, ids, sims, strict=True):
-            real = np.nonzero(t)[0]
-            if len(real) < beam // 2:  # others are widened by themselves
-                want, got = want + len(real), got + np.isin(real, row[s >= least]).sum()
-        if got >= RECALL * want:
-            break
-        beam *= 2
-    todo = np.arange(len(queries))
-    while len(todo):
+    whole = todo = np.arange(len(queries))
+    if n >= 4 * BEAM and trusted(graph, queries[sample], least):
         rest = []
         for part in np.array_split(todo, -(-len(todo) // BATCH)):
-            if beam >= n // 4:
-                for i, row in zip(part, queries[part] @ graph.vectors.T, strict=True):
-                    out[i] = np.nonzero(row >= least)[0]
-                continue
-            ids, sims = graph.find(queries[part], beam)
+            ids, sims = graph.find(queries[part], BEAM)
             for i, row, s in zip(part, ids, sims, strict=True):
-                hit = row[s >= least]
-                if len(hit) >= beam // 2:
+                out[i] = row[s >= least]
+                if len(out[i]) >= BEAM // 2:
                     rest.append(i)
-                out[i] = hit
-        todo, beam = np.array(rest, int), beam * 4
+        whole = np.array(rest, int)
+    for part in np.array_split(whole, max(1, -(-len(whole) // BATCH))):
+        for i, row in zip(part, queries[part] @ graph.vectors.T, strict=True):
+            out[i] = np.nonzero(row >= least)[0]
     return out
 
 

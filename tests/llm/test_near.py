@@ -54,3 +54,31 @@ def test_recall_of_a_graph():
     truth = [np.nonzero(row >= 0.9)[0] for row in x @ x.T]
     got = sum(np.isin(t, f).sum() for t, f in zip(truth, found, strict=True))
     assert got >= 0.98 * sum(map(len, truth)) and all((x[f] @ x[i] >= 0.9 - 1e-5).all() for i, f in enumerate(found))
+
+
+def severed(x):
+    """A graph whose ground level leads nowhere."""
+    graph = near.Graph(x)
+    graph.links[0][:] = -1
+    return graph
+
+
+def test_a_dense_group_without_a_way_in_is_found():
+    r = np.random.default_rng(5)
+    x = r.normal(size=(600, 16))
+    x[300:340] = x[300] + r.normal(size=(40, 16)) * 0.01
+    x = near._unit(x).astype(np.float32)
+    found = near.lookup(severed(x), x[300:340], 0.95)
+    assert all(set(range(300, 340)) <= set(f.tolist()) for f in found)
+
+
+def test_links_are_found_where_no_audited_look_up_has_any():
+    r = np.random.default_rng(6)
+    x = near._unit(r.normal(size=(600, 32))).astype(np.float32)
+    asked = near._unit(r.normal(size=(400, 32))).astype(np.float32)
+    sample = np.linspace(0, 399, near.AUDIT).astype(int)
+    others = np.setdiff1d(np.arange(400), sample)[:50]
+    asked[others] = x[200:250]
+    assert not (asked[sample] @ x.T >= 0.95).any()
+    found = near.lookup(severed(x), asked, 0.95)
+    assert all(200 + k in found[i] for k, i in enumerate(others))
