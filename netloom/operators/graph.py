@@ -52,21 +52,23 @@ def neighbors(edges: DataFrame) -> DataFrame:
     return left.join(right, "net").where("node <> other").select("node", "other").distinct()
 
 
-def distances(edges: DataFrame, start: DataFrame, most: int = 100) -> DataFrame:
+def distances(edges: DataFrame, start: DataFrame) -> DataFrame:
     """(node, length) of everything that the nodes of ``start`` reach in an undirected graph of (a, b), breadth first.
 
-    A round is one join of the frontier; nodes seen before are anti-joined away. length counts edges.
+    A round is one join of the frontier, until it is empty; nodes seen before are anti-joined away, which in an
+    undirected graph are those of the last two rounds. length counts edges.
     """
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     seen = written(start.select("node").distinct().withColumn("length", F.lit(0)))
-    front, rounds = seen, [seen]
-    for length in range(1, most + 1):
+    before, front, length = seen.limit(0), seen, 0
+    while front.limit(1).count():
+        length += 1
         step = front.select(F.col("node").alias("a")).join(both, "a").select(F.col("b").alias("node")).distinct()
-        front = written(step.join(seen.select("node"), "node", "left_anti").withColumn("length", F.lit(length)))
-        if not front.limit(1).count():
-            break
-        rounds.append(front)
+        last = front.select("node").unionByName(before.select("node"))
+        before, front = front, written(step.join(last, "node", "left_anti").withColumn("length", F.lit(length)))
         seen = seen.unionByName(front)
+        if length % 20 == 0:  # a plan of bounded size
+            seen = written(seen)
     return seen
 
 

@@ -111,3 +111,9 @@ def test_streamed_checks(spark, tmp_path):
     stream = spark.readStream.schema("node string, pin_id string, net string").parquet(str(tmp_path / "in"))
     erc.watch(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(60)
     assert sorted((r["rule"], r["item"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("DANGLING_NET", "N1"), ("FLOATING_PIN", "2")]
+
+
+def test_distances_along_a_chain_of_more_than_a_hundred_edges(spark):
+    chain = spark.range(104).selectExpr("id as a", "id + 1 as b")
+    found = graph.distances(chain, spark.range(1).selectExpr("id as node")).collect()
+    assert sorted((r["node"], r["length"]) for r in found) == [(k, k) for k in range(105)]
