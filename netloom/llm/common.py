@@ -8,9 +8,9 @@ from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 from netloom.operators.graph import components
-from netloom.plans.scratch import checkpoint_dir, drop, written
+from netloom.plans.scratch import checkpoint_dir, drop, remove, scope, written
 
-__all__ = ["SPACE", "checkpoint_dir", "components", "drop", "partitions", "ship", "tune", "written"]
+__all__ = ["SPACE", "checkpoint_dir", "components", "drop", "partitions", "remove", "scope", "ship", "tune", "written"]
 
 #: White space between words is 0x20 and 0x09-0x0D in every contract; bytes.split() cuts at the same six bytes.
 SPACE = r"\x20\x09-\x0D"

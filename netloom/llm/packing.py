@@ -40,14 +40,17 @@ class Words(dict):
 
     The vocabulary drops white space and never merges across it, so a text's ids are those of its words in turn. Words
     that are sure to be one run of letters, digits or marks go to the merges at once, and are kept in lower case; all
-    others go through the whole tokenizer.
+    others go through the whole tokenizer, and so does every word with ``<``, which begins the strings that the
+    vocabulary names as special: none of them holds white space, so none reaches over a word's end.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        odd = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if "<" not in t.content or t.content.split() != [t.content] or t.normalized or t.single_word]
+        if odd:
+            raise ValueError(f"words can't be encoded each for itself by a vocabulary with the special strings {odd}")
         self.merges = self.tokenizer.model.tokenize
 
     def run(self, text: str) -> bytes:
@@ -57,7 +60,9 @@ class Words(dict):
         if len(self) > REMEMBERED:
             self.clear()
         text = word.decode("utf-8", "replace")
-        if text.isascii() and text.isprintable() and "'" not in text:
+        if "<" in text:
+            ids = b"".join([x.to_bytes(4, "little") for x in self.tokenizer.encode(text, add_special_tokens=False).ids])
+        elif text.isascii() and text.isprintable() and "'" not in text:
             low = text.lower()
             runs = ASCII_RUN.findall(low)
             if len(runs) > 1:
@@ -203,8 +208,12 @@ def pack(items: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ("
 def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, closing: int = 0, keep_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32 (and ids, if kept), sequence_id, offset.
 
-    Only documents longer than ``capacity`` tokens, the closing id included, are cut. Null and empty texts are pieces
-    of one token; an empty table gives no rows; repeated rows are packed each for itself; other columns are not read.
+    Only documents longer than ``capacity`` tokens, the closing id included, are cut; a very long text is encoded word by
+    word and its ids, four bytes each, are held by one worker. Null and empty texts are pieces of one token; an empty
+    table gives no rows; repeated rows are packed each for itself, null ids too; other columns are not read. Strings of
+    special tokens in a text become those tokens, as the tokenizer has it. The vocabulary is opened by its path on every
+    worker: it comes with the installed package, or lies where all of them see it. Equal lengths are packed in the order
+    of id, piece and checksum.
     """
     if vocabulary is None:
         import public_tokenizers

@@ -13,7 +13,6 @@ SCHEMA = "doc_id long, text string, sequence_id string"
 
 
 TOKENIZER = Tokenizer.from_file(PATH)
-TOKENIZER.encode_special_tokens = True
 
 
 def reference_ids(text):
@@ -59,7 +58,7 @@ def test_empty_table_and_repeated_rows(spark):
 
 def test_words_as_the_tokenizer_gives_them():
     r = random.Random(3)
-    letters = "aZéÉßΣσİıǅ.,!'’#<|>_-07²Ⅷ½٣日本ªº\u0301\u1e9b\ufb01\x7f\x01\xa0\u200b🙂"
+    letters = [*"aZéÉßΣσİıǅ.,!'’#<|>_-07²Ⅷ½٣日本ªº\u0301\u1e9b\ufb01\x7f\x01\xa0\u200b🙂", "<|endoftext|>", "<|startoftext|>", "<|end"]
     words = Words(PATH)
     for _ in range(20000):
         text = "".join(r.choices(letters, k=r.randint(1, 7)))
