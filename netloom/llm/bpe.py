@@ -26,6 +26,8 @@ ship(__name__)
 
 #: A block ends after so many pre-tokens, or so many distinct stretches of text.
 BLOCK_TOKENS, BLOCK_STRETCHES = 3_000_000, 350_000
+#: Rows of a token-byte table.
+MOST_TOKENS = 2_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -187,7 +189,10 @@ def _assemble(docs: pa.Table, words: pa.Table) -> pa.Table:
 def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """(doc_id, ids) of every whole text: each match of ``pattern`` merged by the ranks, without special tokens.
 
-    Null and empty texts have no ids. Repeated rows come out as often as they went in. Only doc_id and text are read.
+    Null and empty texts have no ids. Repeated rows, those without an id too, come out as often as they went in; an empty
+    table gives an empty one. Only doc_id and text are read. A very long text ends its block, and is held whole with its
+    codes by one worker. The rank file is opened by its path on every worker: it comes with the installed package, or
+    lies where all of them see it.
     The input is read twice and has to give the same rows in the same order, as files do; what comes out of a shuffle
     is written first.
     """
@@ -196,7 +201,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
         docs = written(docs)
-    buckets = min(max(4 * docs.rdd.getNumPartitions(), 64), 65_536)
+    buckets = max(4 * docs.rdd.getNumPartitions(), 64)
     asked = docs.mapInArrow(_blocks(pattern, buckets), "block long, bucket int, check long, codes binary, words binary")
     kind = "block long, check long, codes binary, ids binary, sizes binary"
     answered = asked.groupBy("bucket").applyInArrow(_encoder(ranks_path, pattern), kind)
@@ -204,22 +209,76 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return bodies.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(_assemble, "doc_id long, ids array<int>")
 
 
+def _asked(top: int):
+    """Each batch of documents as a head (ids, lengths, codes of their tokens) and after it a row for each distinct token, numbered ``n``."""
+    kinds = {"n": pa.int64(), "id": pa.int32(), "docs": pa.list_(pa.int64()), "sizes": pa.list_(pa.int32()), "codes": pa.binary()}
+
+    def ask(batches):
+        n = 0
+        for batch in batches:
+            lists = batch.column("ids")
+            values = lists.flatten().to_numpy(zero_copy_only=False)
+            if len(values) and not 0 <= values.min() <= values.max() <= top:
+                raise ValueError(f"ids run from {values.min()} to {values.max()}; the table has 0 to {top}")
+            place = np.zeros(top + 1, np.int32)
+            place[values] = 1
+            distinct = np.nonzero(place)[0].astype(np.int32)
+            place[distinct] = np.arange(len(distinct), dtype=np.int32)
+            sizes = lists.value_lengths().fill_null(0).to_pylist()
+            head = [[n], [None], [batch.column("doc_id").to_pylist()], [sizes], [place[values].astype(np.int32).tobytes()]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(head, kinds.values(), strict=True)], names=[*kinds])
+            rows = [np.arange(n + 1, n + 1 + len(distinct)), distinct, *[pa.nulls(len(distinct), t) for t in [*kinds.values()][2:]]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) if isinstance(c, np.ndarray) else c for c, t in zip(rows, kinds.values(), strict=True)], names=[*kinds])
+            n += 1 + len(distinct)
+
+    return ask
+
+
+def _answered(batches):
+    """Puts the documents of each head together from the token rows behind it."""
+
+    def documents(docs, sizes, codes, ids, tokens):
+        if any(t is None for t in tokens):
+            raise ValueError(f"the table has no token {ids[tokens.index(None)]}")
+        codes = np.frombuffer(codes, np.int32)
+        bounds = np.concatenate([[0], np.cumsum(np.array(sizes, np.int64))]).astype(np.int64)
+        places = codes.tolist()
+        out = [b"".join([tokens[x] for x in places[a:b]]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.array(ids, np.int32)[codes] if ids else codes, pa.int32()))
+        return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), lists, pa.array(out, pa.binary())], names=["doc_id", "ids", "decoded"])
+
+    head, ids, tokens, due = None, [], [], 0
+    for batch in batches:
+        for n, id_, docs, sizes, codes, token in zip(*(batch.column(c).to_pylist() for c in ("n", "id", "docs", "sizes", "codes", "token")), strict=True):
+            if n != due:
+                raise RuntimeError("the join changed the order of its rows")
+            due += 1
+            if id_ is None:
+                if head:
+                    yield documents(*head, ids, tokens)
+                head, ids, tokens = (docs, sizes, codes), [], []
+            else:
+                ids.append(id_)
+                tokens.append(token)
+    if head:
+        yield documents(*head, ids, tokens)
+
+
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """encoded (doc_id, ids) with the bytes that the ids stand for, as column ``decoded``.
 
-    The token-byte table has one row for each rank in the file, whatever the input's size, and is held by each worker.
-    Ids outside the table are an error.
+    A batch of documents names each of its distinct ids once, these rows are joined with the token-byte table, and the
+    documents are put together again behind the join. The table is the vocabulary, of MOST_TOKENS rows at most whatever
+    the input's size, and so is broadcast: a streamed side keeps its order, which is checked. Null ids are no tokens; an
+    id without a row in the table is an error.
     """
-
-    def join(batches):
-        table = [token for token, _ in sorted(read_ranks(ranks_path).items(), key=lambda x: x[1])]
-        for batch in batches:
-            lists, values = batch.column("ids"), batch.column("ids").flatten().to_numpy(zero_copy_only=False).tolist()
-            bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
-            out = [b"".join([table[x] for x in values[a:b]]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array(out, pa.binary())], names=["doc_id", "ids", "decoded"])
-
-    return encoded.select("doc_id", "ids").mapInArrow(join, "doc_id long, ids array<int>, decoded binary")
+    ranks = read_ranks(ranks_path)
+    if len(ranks) > MOST_TOKENS:
+        raise ValueError(f"a table of {len(ranks)} tokens is no vocabulary")
+    spark, top = encoded.sparkSession, max(ranks.values(), default=0)
+    tokens = spark.createDataFrame(pa.table({"id": pa.array([*ranks.values()], pa.int32()), "token": pa.array([*ranks], pa.binary())}))
+    asked = encoded.select("doc_id", "ids").mapInArrow(_asked(top), "n long, id int, docs array<long>, sizes array<int>, codes binary")
+    return asked.join(F.broadcast(tokens), "id", "left").mapInArrow(_answered, "doc_id long, ids array<int>, decoded binary")
 
 
 def digests(decoded: DataFrame) -> DataFrame:

@@ -51,3 +51,24 @@ def test_squeeze():
     for n in (0, 1, 1000):
         x = np.arange(n, dtype=np.int32) * 77 - 3
         assert (bpe.unsqueeze(bpe.squeeze(x)) == x).all()
+
+
+def test_decoding_joins_the_table(spark):
+    frame = spark.createDataFrame([(1, [5, 5, 300]), (None, []), (2, None), (1, [0])], "doc_id long, ids array<int>")
+    table = {rank: token for token, rank in bpe.read_ranks(RANKS).items()}
+    out = sorted(((r["doc_id"], r["decoded"], r["ids"]) for r in bpe.decode(frame, RANKS).collect()), key=str)
+    assert out == sorted([(1, table[5] * 2 + table[300], [5, 5, 300]), (None, b"", []), (2, b"", []), (1, table[0], [0])], key=str)
+    assert "BroadcastHashJoin" in bpe.decode(frame, RANKS)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("bad", [-1, 10**6])
+def test_ids_outside_the_table(spark, bad):
+    with pytest.raises(Exception, match="the table has 0 to"):
+        bpe.decode(spark.createDataFrame([(1, [bad])], "doc_id long, ids array<int>"), RANKS).collect()
+
+
+def test_null_ids_and_clashing_columns(spark):
+    docs = [(None, "a b"), (None, "a b"), (3, None)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as ids", "2 as block", "text as codes", "3 as n")
+    out = bpe.digests(bpe.decode(bpe.encode(frame, RANKS, public_tokenizers.PATTERN), RANKS)).collect()
+    assert sorted(map(str, (tuple(r) for r in out))) == sorted(str(expected(*d)) for d in docs)
