@@ -5,12 +5,13 @@ from __future__ import annotations
 import sys
 
 from pyspark import cloudpickle
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from netloom.operators.graph import components
 from netloom.plans.scratch import checkpoint_dir, drop, remove, scope, written
 
-__all__ = ["SPACE", "checkpoint_dir", "components", "drop", "partitions", "remove", "scope", "ship", "tune", "written"]
+__all__ = ["SPACE", "checkpoint_dir", "components", "drop", "partitions", "remove", "scope", "ship", "spread_join", "tune", "written"]
 
 #: White space between words is 0x20 and 0x09-0x0D in every contract; bytes.split() cuts at the same six bytes.
 SPACE = r"\x20\x09-\x0D"
@@ -32,3 +33,17 @@ def tune(spark: SparkSession) -> None:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread_join(rows: DataFrame, classes: DataFrame, key: str, size: str = "copies", parts: int = 64) -> DataFrame:
+    """rows with what ``classes``, one row a key, has for each; rows without a class keep nulls. ``size`` is a key's number of rows.
+
+    A key with more than a thousandth of the rows is dealt over ``parts`` tasks: fewer than a thousand keys are so
+    common, whatever the input's size, and their list is broadcast to mark their rows.
+    """
+    bar = max((classes.agg(F.sum(size)).first()[0] or 0) // 1000, 1000)
+    hot = classes.where(F.col(size) > bar).select(key, F.lit(True).alias("_hot"))
+    dealt = F.when(F.col("_hot"), F.pmod(F.monotonically_increasing_id(), F.lit(parts))).otherwise(0).cast("int")
+    rows = rows.join(F.broadcast(hot), key, "left").withColumn("_part", dealt).drop("_hot")
+    last = F.when(F.col(size) > bar, parts - 1).otherwise(0)
+    return rows.join(classes.withColumn("_part", F.explode(F.sequence(F.lit(0), last))), [key, "_part"], "left").drop("_part")

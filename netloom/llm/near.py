@@ -1,10 +1,11 @@
 """Near duplicates among embeddings by navigable small-world graphs, one for each shard.
 
-Equal vectors are one class and only its smallest id goes on. A shard's vectors are linked into a hierarchy of graphs:
-every vector is on the ground level, one in BRANCH on the next, and so on; inserts and searches run for many vectors at
-a time. Every vector is looked up in every shard's graph (two shards once, from one side). A task compares a sample of
-its look-ups with all vectors of the shard; where the graph misses what they find, all its look-ups scan the shard, and
-otherwise those whose beam is half full of matches do. Pairs are verified by cosine in double precision.
+Equal vectors are one class with a number of its own. A shard's classes are linked into a hierarchy of graphs: every
+vector is on the ground level, one in BRANCH on the next, and so on; inserts and searches run for many vectors at a
+time. Every vector is looked up in every shard's graph (two shards once, from one side). A search whose beam is full of
+matches goes on along the links of the matches. An audit compares sampled look-ups, and probes made at the very
+threshold, with all vectors of the shard, and beams widen until it passes. Pairs are verified by cosine in double
+precision where they are found; what leaves a task is a sum of links for each vector and one link to its group's first.
 """
 
 from __future__ import annotations
@@ -14,16 +15,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import components, ship, tune, written
+from netloom.llm.common import components, ship, spread_join, tune, written
 
 ship(__name__)
 
-#: Vectors of a shard, and look-ups of a task.
-SHARD, LOOKUPS = 32_768, 4096
+#: Vectors of a shard at most, on the average; all pairs of shards meet, so shuffled bytes grow with rows * rows / SHARD.
+SHARD = 16_384
 LINKS, KEEP, BUILD_BEAM, BEAM, BRANCH, BATCH = 24, 12, 48, 48, 16, 512
-#: Look-ups that an audit compares with the whole shard, the recall that it asks for, and the neighbours that each has at least.
-AUDIT, RECALL, NEAREST = 128, 0.995, 8
-SLACK, TIE = 1e-3, 1e-5  # of single-precision similarities
+#: Look-ups and probes that an audit compares with the whole shard, and the recall that it asks for.
+AUDIT, RECALL = 128, 0.99
+SLACK = 1e-3  # of single-precision similarities
+BLOCK = 1024  # rows of a bit matrix that are unpacked at a time
 
 
 def search(vectors: np.ndarray, links: np.ndarray, entry: np.ndarray, queries: np.ndarray, beam: int, at_once: int = 3) -> tuple[np.ndarray, np.ndarray]:
@@ -130,39 +132,128 @@ class Graph:
         return search(self.vectors, self.links[0], self.entries(queries, 0), queries, min(beam, len(self.vectors)))
 
 
-def trusted(graph: Graph, queries: np.ndarray, least: float) -> bool:
-    """Whether the graph finds what a scan of the whole shard finds for these look-ups, dense groups' included.
+def probes(graph: Graph, least: float, many: int) -> np.ndarray:
+    """Vectors of the shard turned away from themselves as far as a match may be."""
+    r = np.random.default_rng(11)
+    own = graph.vectors[np.linspace(0, len(graph.vectors) - 1, min(many, len(graph.vectors))).astype(int)]
+    away = r.normal(size=own.shape)
+    away -= np.einsum("md,md->m", away, own)[:, None] * own
+    size = np.linalg.norm(away, axis=1, keepdims=True)
+    near = np.minimum(least + 2 * SLACK, 1.0)
+    return (near * own + np.sqrt(1 - near**2) * np.where(size > 1e-9, away / np.maximum(size, 1e-9), 0)).astype(np.float32)
+
+
+def flooded(graph: Graph, query: np.ndarray, hits: np.ndarray, least: float) -> np.ndarray:
+    """hits and whatever matches lie behind them by links between matches."""
+    seen = np.zeros(len(graph.vectors), bool)
+    seen[hits] = True
+    out = [hits]
+    while len(hits):
+        near = np.unique(graph.links[0][hits])
+        near = near[near >= 0]
+        near = near[~seen[near]]
+        seen[near] = True
+        hits = near[graph.vectors[near] @ query >= least]
+        out.append(hits)
+    return np.concatenate(out)
+
+
+def found(graph: Graph, queries: np.ndarray, least: float, beam: int) -> list[np.ndarray]:
+    """For each query, the places of the vectors at least so similar that a beam, and links from a full one, come upon."""
+    out = []
+    for at in range(0, len(queries), BATCH):
+        part = queries[at : at + BATCH]
+        ids, sims = graph.find(part, beam)
+        for query, row, ok in zip(part, ids, sims >= least, strict=True):
+            out.append(flooded(graph, query, row, least) if ok.all() and len(row) < len(graph.vectors) else row[ok])
+    return out
+
+
+def passes(graph: Graph, asked: np.ndarray, hits: list[np.ndarray], least: float) -> bool:
+    """Whether the look-ups have RECALL of what a scan of the shard has, by pair and by look-up."""
+    truth = [np.nonzero(row >= least)[0] for row in asked @ graph.vectors.T]
+    got = [(np.isin(t, h).sum(), len(t)) for t, h in zip(truth, hits, strict=True) if len(t)]
+    return not got or (sum(g for g, _ in got) >= RECALL * sum(n for _, n in got) and sum(g / n for g, n in got) >= RECALL * len(got))
+
 
-    Each has to come upon its matches, as many as the beam holds, and its NEAREST vectors whatever their similarity, so
-    that there is something to find where nothing matches.
+def beam_for(graph: Graph, queries: np.ndarray, least: float, beam: int = BEAM) -> int:
+    """The narrowest beam, from ``beam`` on by doubling, whose audit passes; 0 if none does that is narrower than the shard.
+
+    The audit has look-ups spread over the queries, those of them with a full beam again by links, and probes, which
+    have a match at the threshold however rare matches are.
     """
-    best = -np.sort(-(queries @ graph.vectors.T), axis=1)[:, :BEAM]
-    want = np.clip((best >= least).sum(axis=1), NEAREST, BEAM)
-    last = np.take_along_axis(best, want[:, None] - 1, 1)
-    found = graph.find(queries, BEAM)[1]
-    got = np.minimum((found >= last - TIE).sum(axis=1), want)
-    return got.sum() >= RECALL * want.sum() and (got / want).mean() >= RECALL
+    sample = queries[np.linspace(0, len(queries) - 1, min(AUDIT, len(queries))).astype(int)] if len(queries) else queries
+    asked = np.vstack([sample, probes(graph, least, AUDIT)])
+    while not passes(graph, asked, found(graph, asked, least, beam), least):
+        if beam >= len(graph.vectors):
+            return 0
+        beam *= 2
+    return beam
 
 
 def lookup(graph: Graph, queries: np.ndarray, least: float) -> list[np.ndarray]:
-    """For each query, the places of the vectors at least so similar, by single precision."""
-    out: list[np.ndarray] = [None] * len(queries)
-    n = len(graph.vectors)
-    sample = np.linspace(0, len(queries) - 1, min(AUDIT, len(queries))).astype(int)
-    whole = todo = np.arange(len(queries))
-    if n >= 4 * BEAM and trusted(graph, queries[sample], least):
-        rest = []
-        for part in np.array_split(todo, -(-len(todo) // BATCH)):
-            ids, sims = graph.find(queries[part], BEAM)
-            for i, row, s in zip(part, ids, sims, strict=True):
-                out[i] = row[s >= least]
-                if len(out[i]) >= BEAM // 2:
-                    rest.append(i)
-        whole = np.array(rest, int)
-    for part in np.array_split(whole, max(1, -(-len(whole) // BATCH))):
-        for i, row in zip(part, queries[part] @ graph.vectors.T, strict=True):
-            out[i] = np.nonzero(row >= least)[0]
-    return out
+    """For each query, the places of the vectors at least so similar, by single precision.
+
+    Only a graph that fails its audit with a beam as wide as the shard, so one that isn't connected, is passed over.
+    """
+    beam = beam_for(graph, queries, least)
+    if beam:
+        return found(graph, queries, least, beam)
+    return [np.nonzero(row >= least)[0] for at in range(0, len(queries), BATCH) for row in queries[at : at + BATCH] @ graph.vectors.T]
+
+
+class Groups:
+    """Union of places; a union of many that are one group already costs one comparison."""
+
+    def __init__(self, n: int):
+        self.label, self.parent = np.arange(n), list(range(n))
+
+    def root(self, x: int) -> int:
+        while self.parent[x] != x:
+            self.parent[x] = x = self.parent[self.parent[x]]
+        return x
+
+    def join(self, places: np.ndarray) -> int:
+        labels = self.label[places]
+        if (labels == labels[0]).all():
+            return self.root(int(labels[0]))
+        roots = {self.root(int(x)) for x in np.unique(labels)}
+        low = min(roots)
+        for x in roots:
+            self.parent[x] = low
+        self.label[places] = low
+        return low
+
+
+class Bits:
+    """A square matrix of bits; a pair that either side came upon is a link of both."""
+
+    def __init__(self, n: int):
+        self.n, self.rows = n, np.zeros((n, -(-n // BLOCK) * BLOCK // 8), np.uint8)
+
+    def put(self, row: int, places: np.ndarray) -> None:
+        np.bitwise_or.at(self.rows[row], places >> 3, (128 >> (places & 7)).astype(np.uint8))
+
+    def part(self, a: int, b: int) -> np.ndarray | None:
+        packed = self.rows[a : a + BLOCK, b // 8 : (b + BLOCK) // 8]
+        return np.unpackbits(packed, axis=1)[:, : self.n - b].astype(bool) if packed.any() else None
+
+    def sums(self, weight: np.ndarray) -> np.ndarray:
+        """For each row, the weights of its links, itself left out."""
+        out = np.zeros(self.n)
+        for a in range(0, self.n, BLOCK):
+            for b in range(a, self.n, BLOCK):
+                one, other = self.part(a, b), self.part(b, a)
+                both = one if other is None else other.T if one is None else one | other.T
+                if both is None:
+                    continue
+                if a == b:
+                    both = both.copy()
+                    np.fill_diagonal(both, False)
+                out[a : a + BLOCK] += both @ weight[b : b + BLOCK]
+                if a != b:
+                    out[b : b + BLOCK] += both.T @ weight[a : a + BLOCK]
+        return out
 
 
 def _vectors(column, dim: int) -> np.ndarray:
@@ -184,72 +275,114 @@ def _packed(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["vec_id", "vector"])
 
 
-def _built(table: pa.Table) -> pa.Table:
-    dim = table.column("dim")[0].as_py()
-    order = np.argsort(table.column("place").to_numpy(), kind="stable")
-    graph = Graph(_unit(_vectors(table.column("vector"), dim)[order]).astype(np.float32))
-    ids = table.column("vec_id").to_numpy()[order]
-    vectors = _vectors(table.column("vector"), dim)[order]
+LINKED = "id long, other long, n long"
+
+
+def _linked(ids, others, counted, counts) -> pa.Table:
+    """Links (id, other), and sums (id, n)."""
+    ids, others, counted, counts = (np.asarray(x, np.int64) for x in (ids, others, counted, counts))
+    some = counts > 0
+    counted, counts = counted[some], counts[some]
     return pa.table({
-        "dim": pa.array([dim], pa.int32()), "shard": table.column("shard")[:1], "ids": pa.array([ids.tobytes()]), "vectors": pa.array([vectors.tobytes()]),
-        "links": pa.array([[x.tobytes() for x in graph.links]], pa.list_(pa.binary())),
+        "id": pa.concat_arrays([pa.array(ids), pa.array(counted)]), "other": pa.concat_arrays([pa.array(others), pa.nulls(len(counted), pa.int64())]),
+        "n": pa.concat_arrays([pa.nulls(len(ids), pa.int64()), pa.array(counts)]),
     })
 
 
+def _built(threshold: float):
+    """A shard's graph, as a row of binaries, and the links within the shard, as rows by LINKED."""
+
+    def build(table: pa.Table) -> pa.Table:
+        dim = table.column("dim")[0].as_py()
+        order = np.argsort(table.column("place").to_numpy(), kind="stable")
+        ids, copies, vectors = table.column("cid").to_numpy()[order], table.column("copies").to_numpy()[order], _vectors(table.column("vector"), dim)[order]
+        unit = _unit(vectors)
+        graph = Graph(unit.astype(np.float32))
+        bits, groups = Bits(len(ids)), Groups(len(ids))
+        for i, hit in enumerate(lookup(graph, graph.vectors, threshold - SLACK)):
+            hit = hit[unit[hit] @ unit[i] >= threshold]
+            if len(hit) > 1 or (len(hit) and hit[0] != i):
+                hit = np.append(hit, i)
+                bits.put(i, hit)
+                groups.join(hit)
+        roots = np.array([groups.root(i) for i in range(len(ids))])
+        on = np.nonzero(roots != np.arange(len(ids)))[0]
+        links = _linked(ids[on], ids[roots[on]], ids, bits.sums(copies.astype(float)))
+        none = pa.nulls(links.num_rows, pa.binary())
+        own = {"dim": pa.int32(), "shard": pa.int32(), "ids": pa.binary(), "copies": pa.binary(), "vectors": pa.binary()}
+        values = [dim, table.column("shard")[0].as_py(), ids.tobytes(), copies.astype(np.int64).tobytes(), vectors.tobytes()]
+        head = pa.table({
+            **{k: pa.array([v], t) for (k, t), v in zip(own.items(), values, strict=True)}, "links": pa.array([[x.tobytes() for x in graph.links]], pa.list_(pa.binary())),
+            **{k: pa.nulls(1, pa.int64()) for k in ("id", "other", "n")},
+        })
+        rest = {k: none.cast(t) for k, t in own.items()} | {"links": pa.nulls(links.num_rows, pa.list_(pa.binary()))} | {k: links.column(k) for k in ("id", "other", "n")}
+        return pa.concat_tables([head, pa.table(rest)])
+
+    return build
+
+
 def _looked(threshold: float):
+    """Links between the vectors of one shard and the graph of another."""
+
     def look(queries: pa.Table, graphs: pa.Table) -> pa.Table:
-        found = {"a": [], "b": []}
-        if queries.num_rows and graphs.num_rows:
-            dim, shard = graphs.column("dim")[0].as_py(), graphs.column("shard")[0].as_py()
-            ids = np.frombuffer(graphs.column("ids")[0].as_py(), np.int64)
-            unit = _unit(np.frombuffer(graphs.column("vectors")[0].as_py(), np.float64).reshape(-1, dim))
-            graph = Graph.__new__(Graph)
-            graph.vectors = unit.astype(np.float32)
-            graph.links = [np.frombuffer(x, np.int32).reshape(-1, LINKS) for x in graphs.column("links")[0].as_py()]
-            graph.sizes = [len(x) for x in graph.links]
-            own, asked = queries.column("vec_id").to_numpy(), _unit(_vectors(queries.column("vector"), dim))
-            hits = lookup(graph, asked.astype(np.float32), threshold - SLACK)
-            for i, hit in enumerate(hits):
-                if len(hit):
-                    hit = hit[(unit[hit] @ asked[i] >= threshold) & (ids[hit] != own[i])]
-                    found["a"].append(np.full(len(hit), own[i]))
-                    found["b"].append(ids[hit])
-        return pa.table({k: pa.array(np.concatenate(v) if v else np.zeros(0, np.int64), pa.int64()) for k, v in found.items()})
+        if not queries.num_rows or not graphs.num_rows:
+            return _linked([], [], [], [])
+        dim, graph = graphs.column("dim")[0].as_py(), Graph.__new__(Graph)
+        ids, copies = (np.frombuffer(graphs.column(c)[0].as_py(), np.int64) for c in ("ids", "copies"))
+        unit = _unit(np.frombuffer(graphs.column("vectors")[0].as_py(), np.float64).reshape(-1, dim))
+        graph.vectors = unit.astype(np.float32)
+        graph.links = [np.frombuffer(x, np.int32).reshape(-1, LINKS) for x in graphs.column("links")[0].as_py()]
+        graph.sizes = [len(x) for x in graph.links]
+        own, own_copies, asked = queries.column("cid").to_numpy(), queries.column("copies").to_numpy(), _unit(_vectors(queries.column("vector"), dim))
+        groups, mine, theirs, first = Groups(len(ids)), np.zeros(len(own), np.int64), np.zeros(len(ids), np.int64), {}
+        for i, hit in enumerate(lookup(graph, asked.astype(np.float32), threshold - SLACK)):
+            hit = hit[unit[hit] @ asked[i] >= threshold]
+            if len(hit):
+                mine[i] = copies[hit].sum()
+                theirs[hit] += own_copies[i]
+                first[i] = groups.join(hit)
+        hits = np.nonzero(theirs)[0]
+        pairs = [(own[i], ids[groups.root(x)]) for i, x in first.items()] + [(ids[x], ids[groups.root(x)]) for x in hits.tolist() if groups.root(x) != x]
+        return _linked([a for a, _ in pairs], [b for _, b in pairs], np.concatenate([own, ids]), np.concatenate([mine, theirs]))
 
     return look
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
-    """vec_id, n_links, component_id, kept of every row of vectors (vec_id, embedding).
+    """vec_id, n_links, component_id, kept of every row of vectors (vec_id, embedding); other columns aren't read.
 
-    Two vectors link when their cosine, in double precision, is ``threshold`` or more. Null and zero vectors and those
-    with null or non-finite components link with nothing, and vectors of different lengths don't link. Rows that repeat
-    id and vector link like copies; ids are otherwise taken to be unique. An empty table gives an empty one.
+    Two rows link when the cosine of their vectors, in double precision, is ``threshold`` or more, exactly ``threshold``
+    included. Null, empty and zero vectors and those with null or non-finite components link with nothing, and vectors
+    of different lengths don't link. Every row counts: rows that repeat an id, with one vector or with several, are rows
+    of their own under that id, and so are rows without one. component_id is the smallest id reachable, null where no
+    row reachable has an id; kept is vec_id = component_id, two nulls being equal. An empty table gives an empty one.
     """
     spark = vectors.sparkSession
     tune(spark)
     rows = written(vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(_packed, "vec_id long, vector binary"))
-    classes = rows.where("vector is not null").groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    reps = classes.select(F.col("rep").alias("vec_id"), "copies", "vector", (F.octet_length("vector") / 8).cast("int").alias("dim"), F.xxhash64("vector").alias("place"))
-    reps = written(reps)
-    shards = {r["dim"]: -(-r["n"] // SHARD) for r in reps.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # one row a length of vectors
+    classes = rows.where("vector is not null").groupBy("vector").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"))
+    # numbers are given once, as the table is written
+    classes = written(classes.select(F.monotonically_increasing_id().alias("cid"), "low", "copies", "vector", (F.octet_length("vector") / 8).cast("int").alias("dim"), F.xxhash64("vector").alias("place")))
+    shards = {r["dim"]: -(-r["n"] // SHARD) for r in classes.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # one row a length of vectors
     many = F.lit(1)
     for dim, k in shards.items():
         many = F.when(F.col("dim") == dim, k).otherwise(many)
-    dealt = reps.withColumn("shard", F.pmod(F.xxhash64("vec_id"), many).cast("int")).withColumn("many", many)
-    graphs = written(dealt.select("dim", "shard", "vec_id", "vector", "place").groupBy("dim", "shard").applyInArrow(_built, "dim int, shard int, ids binary, vectors binary, links array<binary>"))
-    blocks = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(max(1, SHARD // LOOKUPS))).cast("int")
-    asked = dealt.withColumn("block", blocks).withColumn("target", F.explode(F.sequence(F.col("shard"), F.col("many") - 1)))
-    asked = asked.select("dim", "target", "shard", "block", "vec_id", "vector")
-    wanted = asked.select(F.col("dim").alias("gdim"), F.col("target").alias("gtarget"), F.col("shard").alias("gshard"), F.col("block").alias("gblock")).distinct()
-    sent = wanted.join(graphs, (F.col("gdim") == F.col("dim")) & (F.col("gtarget") == F.col("shard")))
-    sides = asked.groupBy("dim", "target", "shard", "block"), sent.groupBy("gdim", "gtarget", "gshard", "gblock")
-    pairs = sides[0].cogroup(sides[1]).applyInArrow(_looked(threshold), "a long, b long")
-    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    counts = both.join(reps.select(F.col("vec_id").alias("b"), "copies"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("copies").alias("linked"))
-    classes = reps.select(F.col("vec_id").alias("rep"), "copies", "vector")
-    named = classes.join(counts, "rep", "left").join(components(pairs).withColumnRenamed("id", "rep"), "rep", "left")
-    named = named.select("vector", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = rows.join(named, "vector", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    dealt = classes.withColumn("shard", F.pmod(F.xxhash64("vector", F.lit(1)), many).cast("int")).withColumn("many", many)
+    kind = "dim int, shard int, ids binary, copies binary, vectors binary, links array<binary>, " + LINKED
+    built = written(dealt.select("dim", "shard", "cid", "copies", "vector", "place").groupBy("dim", "shard").applyInArrow(_built(threshold), kind))
+    graphs, within = built.where("ids is not null"), built.where("ids is null").select("id", "other", "n")
+    asked = dealt.withColumn("target", F.explode(F.sequence(F.col("shard"), F.col("many") - 1))).where("target > shard").select("dim", "target", "shard", "cid", "copies", "vector")
+    # each graph goes to the shards before it, which are as many as the table's size over SHARD
+    sent = graphs.select(F.col("dim").alias("gdim"), F.col("shard").alias("gtarget"), "dim", "ids", "copies", "vectors", "links").withColumn("gshard", F.explode(F.sequence(F.lit(0), F.col("gtarget")))).where("gshard < gtarget")
+    between = asked.groupBy("dim", "target", "shard").cogroup(sent.groupBy("gdim", "gtarget", "gshard")).applyInArrow(_looked(threshold), LINKED)
+    links = written(within.unionByName(between) if any(k > 1 for k in shards.values()) else within)
+    counts = links.where("n is not null").groupBy(F.col("id").alias("cid")).agg(F.sum("n").alias("linked"))
+    named = classes.select("cid", "low", "copies", "vector").join(counts, "cid", "left")
+    named = named.join(components(links.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b"))).withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    named = written(named)
+    lowest = named.groupBy("component").agg(F.min("low").alias("component_id"), F.count("*").alias("size"))
+    named = spread_join(named, lowest, "component", "size").select("vector", "copies", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    out = spread_join(rows, named, "vector")
+    component = F.when(F.col("copies").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"))
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
