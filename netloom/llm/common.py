@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from netloom.operators.graph import components
 from netloom.plans.scratch import checkpoint_dir, drop, remove, scope, written
 
-__all__ = ["SPACE", "checkpoint_dir", "components", "drop", "partitions", "remove", "scope", "ship", "spread_join", "tune", "written"]
+__all__ = ["SPACE", "bounded_sample", "checkpoint_dir", "components", "drop", "partitions", "remove", "scope", "ship", "spread_join", "tune", "written"]
 
 #: White space between words is 0x20 and 0x09-0x0D in every contract; bytes.split() cuts at the same six bytes.
 SPACE = r"\x20\x09-\x0D"
@@ -35,6 +35,17 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """The ``most`` rows with the least hashes of their key, fewer if there are fewer.
+
+    A threshold on the hash first leaves about half as many rows again, so what meets in one task is bounded by ``most``
+    and not by the number of files.
+    """
+    share = min(1.0, (1.5 * most + 200) / max(rows.count(), 1))
+    order = F.xxhash64(key, F.lit(3))
+    return rows.where(F.pmod(order, F.lit(1 << 30)) <= int(share * (1 << 30))).orderBy(F.pmod(order, F.lit(1 << 30)), key).limit(most)
+
+
 def spread_join(rows: DataFrame, classes: DataFrame, key: str, size: str = "copies", parts: int = 64) -> DataFrame:
     """rows with what ``classes``, one row a key, has for each; rows without a class keep nulls. ``size`` is a key's number of rows.
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import ship, tune, written
+from netloom.llm.common import bounded_sample, ship, tune, written
 
 ship(__name__)
 
@@ -58,7 +58,7 @@ def _counted(batches):
 
 def models(docs: DataFrame, target_ids: DataFrame) -> np.ndarray:
     """log p_target - log p_raw by slot, smoothed by one count a slot. target_ids: doc_id of labelled target rows."""
-    some = target_ids.where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TARGET_SAMPLE)
+    some = bounded_sample(target_ids.where("doc_id is not null").select("doc_id").distinct(), "doc_id", TARGET_SAMPLE)
     flagged = docs.select("doc_id", "text").join(F.broadcast(some.withColumn("target", F.lit(True))), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
     parts = flagged.mapInArrow(_counted, "raw array<long>, target array<long>")
     slot = parts.select(F.posexplode(F.arrays_zip("raw", "target")).alias("slot", "n")).groupBy("slot").agg(F.sum("n.raw").alias("raw"), F.sum("n.target").alias("target"))

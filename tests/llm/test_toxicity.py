@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -27,24 +28,91 @@ def machine():
     return T.train([t for _, t, _ in data], [y for *_, y in data])
 
 
-def brute(word, weights):
-    codes, total = T.letters([word])[0], 0.0
+def plain_sentences(text):
+    """Sentences as lists of words, by the definition, a character at a time."""
+    out, text = [[""]], text.lower() + "\n"
+    for c, after in zip(text, text[1:] + "\n", strict=True):
+        end = c in "\n\r\v\f\u2028\u2029\u3002\uff01\uff1f" or (c in ".!?" and (after.isspace() or after in ".!?\u3002\uff01\uff1f"))
+        if end:
+            out.append([""])
+        elif c.isspace():
+            out[-1].append("")
+        elif c.isalpha():
+            out[-1][-1] += c
+    found = []
+    for sentence in out:
+        words, run = [], []
+        for w in [*filter(None, sentence), None]:
+            if w is not None and len(w) == 1:
+                run.append(w)
+                continue
+            words += ["".join(run)] if len(run) > 2 else run
+            run = []
+            words += [] if w is None else [w]
+        words = [p for w in words for p in ([w] if len(w) <= T.LONGEST else [w[i : i + T.LONGEST // 2] for i in range(0, len(w), T.LONGEST // 2)])]
+        if words:
+            found.append(words)
+    return found
+
+
+def brute_kernel(words, weights):
+    """The decision of a stretch by all subsequences of three characters."""
+    code = lambda c: T.SPACE if c == " " else ord(c) - 96 if "a" <= c <= "z" else 28 + ord(c) % 36
+    codes, total = [code(c) for c in " " + " ".join(words) + " "], 0.0
     for i in range(len(codes)):
         for j in range(i + 1, len(codes)):
-            for k in range(j + 1, len(codes)):
-                if k - i < T.SPAN:
-                    total += T.DECAY ** (k - i + 1) * weights[(codes[i] * T.LETTERS + codes[j]) * T.LETTERS + codes[k]]
-    return total / T.norm(np.array([len(word)]))[0]
+            for k in range(j + 1, min(len(codes), i + T.SPAN)):
+                total += T.DECAY ** (k - i + 1) * weights[(codes[i] * T.LETTERS + codes[j]) * T.LETTERS + codes[k]]
+    return total / T.norm(np.array([len(codes) - 2]))[0]
 
 
-def test_kernel_against_all_subsequences(machine):
-    words = ["ab", "blockhead", "bl.ock".replace(".", "x"), "élan", "mississippi", "a" * 24]
-    assert np.allclose(T.kernel(words, machine.weights), [brute(w, machine.weights) for w in words], atol=1e-3)
+def brute_score(text, machine):
+    spans, at = [], 0
+    for sentence in plain_sentences(text):
+        for i in range(len(sentence)):
+            for j in range(i + 1, min(len(sentence), i + T.WIDEST) + 1):
+                spans.append((brute_kernel(sentence[i:j], machine.weights) + machine.bias, at + i, at + j))
+        at += len(sentence)
+    best, top = max(spans, default=(-np.inf, 0, 0)), [-np.inf, -np.inf]
+    top[0] = best[0]
+    top[1] = max((v for v, a, b in spans if (b <= best[1] or a >= best[2]) and v < best[0] - 1e-4), default=-np.inf)
+    return 1 / (1 + np.exp(-(T.evidence(np.maximum([top], -T.CLIP)) @ machine.slopes)[0]))
 
 
-def test_kernel_with_itself_is_one():
-    assert T.kernel(["scallywag"], T.subsequences("blockhead"))[0] < 0.3
-    assert abs(T.kernel(["blockhd"], T.subsequences("blockhd"))[0] - 1) < 1e-5
+ODD = ["", "...", "a", "Élan blockhead. Tari-mo?! nu3mpty", "n u m p t y you. b.l.o.c.k.head", "x y z\nw v", "日本語" * 20, "tari" * 20 + " numxpty", "　a b c d e f", "﻿한국 numpty!"]
+
+
+def test_scores_against_all_stretches_and_subsequences(machine):
+    texts = ODD + [" ".join(t.split()[:12]) for _, t, _ in rows(25, 9)]
+    assert np.allclose(machine.scores(texts), [brute_score(t, machine) for t in texts], atol=1e-4)
+
+
+def test_long_texts_in_parts(machine, monkeypatch):
+    texts = [" ".join(t for _, t, _ in rows(40, 5)) + " the numptyy", "a" * 3000, "ta " * 2000]
+    whole = machine.scores(texts)
+    monkeypatch.setattr(T, "SLICE", 700)
+    assert np.allclose(machine.scores(texts), whole, atol=0.02)
+
+
+def test_many_words_take_linear_time(machine):
+    began = time.perf_counter()
+    machine.scores(["日本 " * 20_000, "\n" * 20_000, "a " * 20_000])
+    assert time.perf_counter() - began < 3
+
+
+def test_an_insult_of_plain_words(spark):
+    """Neighbours are in the kernel: neither word is toxic, the two together are."""
+    r, data = random.Random(8), []
+    for i in range(400):
+        words = r.choices(["tari", "mo", "lensu", "kaped", "sumo", "river", "bones"], k=30)
+        words = " ".join(words).replace("river bones", "river mo").split()
+        if i % 4 == 0:
+            words[7:7] = ["river", "bones"]
+        data.append((i, " ".join(words), int(i % 4 == 0)))
+    machine = T.train([t for _, t, _ in data[:300]], [y for *_, y in data[:300]])
+    got = machine.scores([t for _, t, _ in data[300:]]) >= T.THRESHOLD
+    truth = np.array([("river bones" in t) for _, t, _ in data[300:]])
+    assert (got == truth).mean() > 0.9
 
 
 def test_held_out_rows(spark, machine):
@@ -65,3 +133,23 @@ def test_fit_leaves_held_out_rows_alone(spark, machine):
     assert T.fit(docs, labels.limit(0)) is None
     assert [r["score"] for r in T.score(docs.limit(2), None).collect()] == [0.0, 0.0]
     assert T.score(docs.limit(0), machine).count() == 0
+
+
+def test_sample_is_bounded_in_rows_and_bytes(spark, monkeypatch):
+    data = rows(60, 3)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in data] + [(0, "copy")] * 500 + [(4, None), (4, "x" * 100_000)], "doc_id long, text string").selectExpr("*", "1 as size", "2 as total")
+    labels = spark.createDataFrame([(i, y) for i, _, y in data], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(T, "train", lambda texts, toxic: seen.append((texts, toxic)))
+    monkeypatch.setattr(T, "SAMPLE_BYTES", 4000)
+    monkeypatch.setattr(T, "CLEAN_SAMPLE", 5)
+    T.fit(docs, labels)
+    texts, toxic = seen[0]
+    assert toxic.count(0) <= 5 and all(sum(len(t) for t, y in zip(texts, toxic, strict=True) if y == f) <= 4000 for f in (0, 1)) and 1 in toxic
+
+
+def test_null_ids_and_clashing_columns(spark, machine):
+    frame = spark.createDataFrame([(None, "a numpty b", "p"), (None, None, "q"), (1, "numpty", "r"), (1, "numpty", "r")], "doc_id long, text string, predicted string").selectExpr("*", "1 as size", "text as words")
+    out = T.score(frame, machine).withColumn("held_out", T.held_out()).collect()
+    assert len(out) == 4 and all(r["held_out"] is not None and 0 <= r["score"] <= 1 for r in out)
+    assert len({r["score"] for r in out if r["doc_id"] == 1}) == 1
