@@ -1,5 +1,9 @@
-"""Joins by place. Everything is local to a page, so pages are the join key and the geometry a residual predicate; pages
-too large for that are cut into cells, and a segment stands in each cell that its padded box meets."""
+"""Joins by place, and measures of drawings.
+
+Everything is local to a page. Rows of a page meet through cells: a row stands in each cell that its padded box meets,
+and a pair is taken where the lower corner of both boxes' common part lies, so that it comes once and needs no distinct.
+Tables of segments have page, seg (unique on its page, in drawing order), x0, y0, x1, y1, and kind and color where named.
+"""
 
 from __future__ import annotations
 
@@ -7,61 +11,248 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.functions import geometry as G
+from netloom.plans.scratch import drop, written
+
+CELL = 32.0
+
+
+# ---- joins
+
+
+def padded(rows: DataFrame, pad: float | Column = 0.0, x0="x0", y0="y0", x1="x1", y1="y1") -> DataFrame:
+    """rows with a box around two corners, wider by ``pad`` on every side."""
+    pad = F.lit(float(pad)) if isinstance(pad, (int, float)) else pad
+    low, high = (lambda p, q: F.least(p, q) - pad), (lambda p, q: F.greatest(p, q) + pad)
+    return rows.withColumns({"bx0": low(x0, x1), "by0": low(y0, y1), "bx1": high(x0, x1), "by1": high(y0, y1)})
+
+
+def meeting(left: DataFrame, right: DataFrame, cell: float = CELL, by: str = "page") -> DataFrame:
+    """Pairs of rows of one page whose boxes (bx0, by0, bx1, by1) meet, rims included; right's columns get a leading underscore."""
+
+    def cut(rows: DataFrame) -> DataFrame:
+        at = lambda v: F.floor(F.col(v) / cell)
+        rows = rows.withColumns({"cell_lx": at("bx0"), "cell_ly": at("by0")})
+        rows = rows.withColumn("cell_cx", F.explode(F.sequence(F.col("cell_lx"), at("bx1"))))
+        return rows.withColumn("cell_cy", F.explode(F.sequence(F.col("cell_ly"), at("by1"))))
+
+    a, b = cut(left), cut(right)
+    b = b.select(F.col(by).alias("_page"), *(F.col(n).alias(f"_{n}") for n in right.columns if n != by), *(F.col(n).alias(f"_r{n}") for n in ("cell_lx", "cell_ly", "cell_cx", "cell_cy")))
+    boxes = (F.col("bx0") <= F.col("_bx1")) & (F.col("_bx0") <= F.col("bx1")) & (F.col("by0") <= F.col("_by1")) & (F.col("_by0") <= F.col("by1"))
+    first = (F.col("cell_cx") == F.greatest("cell_lx", "_rcell_lx")) & (F.col("cell_cy") == F.greatest("cell_ly", "_rcell_ly"))
+    pairs = a.join(b, [a[by] == b["_page"], a["cell_cx"] == b["_rcell_cx"], a["cell_cy"] == b["_rcell_cy"]]).where(boxes & first)
+    return pairs.drop("_page", "cell_lx", "cell_ly", "cell_cx", "cell_cy", "_rcell_lx", "_rcell_ly", "_rcell_cx", "_rcell_cy")
+
 
+def touching(segments: DataFrame, tol: float | Column = 1.0, cell: float = CELL) -> DataFrame:
+    """(page, a, b), a < b, of segments that touch within ``tol``, a number or one for each segment's page."""
+    tol = F.lit(float(tol)) if isinstance(tol, (int, float)) else tol
+    sized = segments.select("page", "seg", "x0", "y0", "x1", "y1", (tol + 1e-3).alias("tol")).withColumns(G.directed())
+    pairs = meeting(padded(sized, F.col("tol")), padded(sized.drop("tol")), cell).where("seg < _seg")
+    return pairs.where(G.touches(F.col("tol") * F.col("tol"))).select("page", F.col("seg").alias("a"), F.col("_seg").alias("b"))
 
-def touching(segments: DataFrame, tol: float = 1.0, cell: float | None = None) -> DataFrame:
-    """(page, a, b), a < b, of segments that touch. With ``cell`` the join key has the cell as well."""
-    left, right, on = segments.alias("a"), segments.alias("b"), ["page"]
-    if cell:
-        def cut(s, pad):
-            low = lambda p, q: F.floor((F.least(p, q) - pad) / cell)
-            high = lambda p, q: F.floor((F.greatest(p, q) + pad) / cell)
-            s = s.withColumn("cx", F.explode(F.sequence(low("x0", "x1"), high("x0", "x1"))))
-            return s.withColumn("cy", F.explode(F.sequence(low("y0", "y1"), high("y0", "y1"))))
 
-        left, right, on = cut(segments, tol + 1e-3).alias("a"), cut(segments, 0.0).alias("b"), ["page", "cx", "cy"]
-    key = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in on]
-    pairs = left.join(right, [*key, F.col("a.seg") != F.col("b.seg") if cell else F.col("a.seg") < F.col("b.seg")]).where(G.touches("a", "b", tol))
-    pairs = pairs.select(F.col("a.page").alias("page"), F.least("a.seg", "b.seg").alias("a"), F.greatest("a.seg", "b.seg").alias("b"))
-    return pairs.distinct() if cell else pairs
+def linked(ends: DataFrame, reach: str) -> DataFrame:
+    """(page, a, b), a < b, of segments with ends (page, seg, x, y) within their page's ``reach`` of each other."""
+    pairs = meeting(padded(ends, F.col(reach), "x", "y", "x", "y"), padded(ends.select("page", "seg", "x", "y"), 0.0, "x", "y", "x", "y"))
+    near = G.distance2("x", "y", "_x", "_y") <= F.col(reach) * F.col(reach)
+    return pairs.where(near & (F.col("seg") < F.col("_seg"))).select("page", F.col("seg").alias("a"), F.col("_seg").alias("b")).distinct()
 
 
-def nearest(points: DataFrame, segments: DataFrame, point: list[str], most: float | None = None, last: bool = False) -> DataFrame:
-    """points with the nearest segment of their page (seg, d2); ``most`` bounds the distance, ties go to the first or the last."""
-    d2 = G.point_segment_d2("px", "py", "x0", "y0", "x1", "y1")
-    found = points.join(segments, "page").withColumn("d2", d2)
+def nearest(points: DataFrame, targets: DataFrame, key: list[str], d2: Column, most: float | Column | None = None, last: bool = False, order: str = "seg", other: Column | None = None) -> DataFrame:
+    """points (page, *key, x, y, ...) with the nearest of their page's targets, as its columns with an underscore, and d2.
+
+    ``d2`` is the squared distance in terms of both rows, ``most`` bounds the distance; ``other`` says which pairs count.
+    Of equals the first by ``order`` wins, or the last. Without a bound the search widens until every point has its
+    nearest: each round looks eight times as far for the points that the one before left. Points whose page has no
+    target that counts are left out.
+    """
+    best = F.min(F.struct("d2", (-F.col(f"_{order}") if last else F.col(f"_{order}")).alias("o"), F.struct(*(f"_{n}" for n in targets.columns if n != "page")).alias("t")))
+    ok = F.lit(True) if other is None else other
+
+    def look(some: DataFrame, reach: Column, cell: float) -> DataFrame:
+        pairs = meeting(padded(some, reach, "x", "y", "x", "y"), targets, cell).where(ok).withColumn("d2", d2)
+        found = pairs.where(F.col("d2") <= reach * reach).groupBy("page", *key).agg(best.alias("m"))
+        return found.select("page", *key, "m.t.*", "m.d2")
+
     if most is not None:
-        found = found.where(F.col("d2") <= most * most)
-    best = F.min(F.struct("d2", (-F.col("seg") if last else F.col("seg")).alias("o"), "seg"))
-    return found.groupBy(*point).agg(best.alias("m")).select(*point, F.col("m.seg").alias("seg"), F.col("m.d2").alias("d2"))
+        return look(points, F.lit(float(most)) if isinstance(most, (int, float)) else most, CELL)
+    box = targets.agg(F.min("bx0"), F.min("by0"), F.max("bx1"), F.max("by1")).crossJoin(points.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y"))).first()  # one row
+    if None in tuple(box):
+        return look(points, F.lit(0.0), CELL)
+    far = 2.0 + abs(max(box[2], box[6]) - min(box[0], box[4])) + abs(max(box[3], box[7]) - min(box[1], box[5]))
+    todo, out, reach = written(points.select("page", *key, "x", "y", *(n for n in points.columns if n not in ("page", "x", "y", *key)))), None, min(CELL / 2, far)
+    while True:
+        found = written(look(todo, F.lit(reach), max(CELL, reach)))
+        out = found if out is None else out.unionByName(found)
+        if reach >= far:
+            return out
+        rest = written(todo.join(found, ["page", *key], "left_anti"))
+        drop(todo)
+        todo, reach = rest, min(reach * 8, far)
+        if not todo.limit(1).count():
+            return out
+
+
+def nearest_segment(points: DataFrame, segments: DataFrame, key: list[str], most: float | Column | None = None, last: bool = False) -> DataFrame:
+    """(page, *key, seg, d2) of the nearest segment of each point (page, *key, x, y)."""
+    d2 = G.point_segment_d2("x", "y", "_x0", "_y0", "_x1", "_y1")
+    found = nearest(points, padded(segments.select("page", "seg", "x0", "y0", "x1", "y1")), key, d2, most, last)
+    return found.select("page", *key, F.col("_seg").alias("seg"), "d2")
+
+
+def smallest_box(items: DataFrame, boxes: DataFrame, key: list[str], points: list[tuple[str | Column, str | Column]], pad: float = 0.0) -> DataFrame:
+    """(page, *key, box) of the smallest box (page, box, bx0..by1), widened by ``pad``, that has any of an item's points; the first of equals.
+
+    The area that counts is that of the box as it is given.
+    """
+    wide = boxes.withColumn("area", G.box_area()).withColumns({"bx0": F.col("bx0") - pad, "by0": F.col("by0") - pad, "bx1": F.col("bx1") + pad, "by1": F.col("by1") + pad})
+    at = [(f"p{i}x", f"p{i}y", x, y) for i, (x, y) in enumerate(points)]
+    items = items.select("page", *key, *(G.c(v).alias(n) for nx, ny, x, y in at for n, v in ((nx, x), (ny, y))))
+    low, high = (lambda k: F.least(*(n[k] for n in at)) if len(at) > 1 else F.col(at[0][k])), (lambda k: F.greatest(*(n[k] for n in at)) if len(at) > 1 else F.col(at[0][k]))
+    items = items.withColumns({"bx0": low(0), "by0": low(1), "bx1": high(0), "by1": high(1)})
+    inside = F.lit(False)
+    for nx, ny, _, _ in at:
+        inside = inside | G.in_box(nx, ny, "_bx0", "_by0", "_bx1", "_by1")
+    found = meeting(items, wide).where(inside).groupBy("page", *key).agg(F.min(F.struct("_area", "_box")).alias("m"))
+    return found.select("page", *key, F.col("m._box").alias("box"))
+
+
+# ---- measures by page
+
 
+def ends_of(segments: DataFrame) -> DataFrame:
+    """(page, seg, k, x, y, ...) of both ends of each segment."""
+    end = lambda k: F.struct(F.lit(k).alias("k"), F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y"))
+    rest = [n for n in segments.columns if n not in ("x0", "y0", "x1", "y1")]
+    return segments.select(*rest, F.inline(F.array(end(0), end(1))))
 
-def overlapping(a: DataFrame, b: DataFrame, key: str = "page") -> DataFrame:
-    """Pairs of boxes (bx0, by0, bx1, by1) of one page that meet, their rims included."""
-    r = b.select(key, *(F.col(c).alias(f"_{c}") for c in b.columns if c != key))
-    return a.join(r, key).where("bx0 <= _bx1 and _bx0 <= bx1 and by0 <= _by1 and _by0 <= by1")
 
+def free_ends(segments: DataFrame, by: tuple[str, ...] = ("page",)) -> DataFrame:
+    """(*by, x, y) of ends that no other end of the page, or of the group, shares exactly."""
+    return ends_of(segments).groupBy(*by, "x", "y").agg(F.count("*").alias("n")).where("n = 1").select(*by, "x", "y")
 
-def free_ends(segments: DataFrame) -> DataFrame:
-    """(page, x, y) of ends that no other end of the page shares."""
-    ends = segments.select("page", F.explode(F.array(F.struct(F.col("x0").alias("x"), F.col("y0").alias("y")), F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")))).alias("e"))
-    return ends.groupBy("page", "e.x", "e.y").agg(F.count("*").alias("n")).where("n = 1").select("page", "x", "y")
 
+def by_page(pages: DataFrame, found: DataFrame, value: str, otherwise: float) -> DataFrame:
+    return pages.select("page").join(found, "page", "left").select("page", F.coalesce(value, F.lit(float(otherwise))).alias(value))
 
-def merged(segments: DataFrame) -> DataFrame:
-    """Level segments of a line that overlap or meet, as one: gaps and islands over their left ends."""
-    level = segments.where("y0 = y1").select("page", "y0", F.least("x0", "x1").alias("lo"), F.greatest("x0", "x1").alias("hi"))
-    order = Window.partitionBy("page", "y0").orderBy("lo", "hi")
-    reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    cut = level.withColumn("new", F.when(reach.isNull() | (F.col("lo") > reach), 1).otherwise(0))
-    return cut.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy("page", "y0", "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("n"))
 
+def scale(segments: DataFrame, pages: DataFrame) -> DataFrame:
+    """(page, scale): the nearest-rank tenth percentile of lengths above 0.1, 1 at the least and where there is none."""
+    sized = segments.select("page", G.length().alias("len")).where("len > 0.1")
+    n = sized.groupBy("page").agg(F.count("*").alias("n"))
+    at = F.greatest(F.floor(F.col("n") * 0.1), F.lit(1))
+    # lengths are counted before they are ranked, so that a page of many equal ones is short
+    counted = sized.groupBy("page", "len").agg(F.count("*").alias("m"))
+    upto = F.sum("m").over(Window.partitionBy("page").orderBy("len"))
+    found = counted.withColumn("upto", upto).join(n, "page").where(F.col("upto") >= at).groupBy("page").agg(F.greatest(F.lit(1.0), F.min("len")).alias("scale"))
+    return by_page(pages, found, "scale", 1.0)
 
-def quantile_split(segments: DataFrame, factor: float = 3.0, least: float = 5.0) -> DataFrame:
-    """segments with is_wire: axis-aligned and as long as ``factor`` times the page's lower quartile, ``least`` at the least."""
-    sized = segments.withColumn("len", G.length())
+
+def wire_tolerance(segments: DataFrame, pages: DataFrame) -> DataFrame:
+    """(page, tol): the lower quartile of ends' distances to the nearest other segment; 1 if that is under 0.1 or there are fewer than two."""
+    targets = padded(segments.select("page", "seg", "x0", "y0", "x1", "y1"))
+    near = nearest(ends_of(segments.select("page", "seg", "x0", "y0", "x1", "y1")), targets, ["seg", "k"], G.point_segment_d2("x", "y", "_x0", "_y0", "_x1", "_y1"), other=F.col("seg") != F.col("_seg"))
+    found = near.groupBy("page").agg(F.percentile(F.sqrt("d2"), F.lit(0.25)).alias("tol"))
+    return by_page(pages, found.select("page", F.when(F.col("tol") < 0.1, 1.0).otherwise(F.col("tol")).alias("tol")), "tol", 1.0)
+
+
+def link_distance(segments: DataFrame, pages: DataFrame) -> DataFrame:
+    """(page, reach): the 60th percentile of ends' distances to the nearest end of another segment, 5 at the least; 10 for fewer than two segments."""
+    ends = ends_of(segments.select("page", "seg", "x0", "y0", "x1", "y1"))
+    targets = padded(ends, 0.0, "x", "y", "x", "y")
+    near = nearest(ends, targets, ["seg", "k"], G.distance2("x", "y", "_x", "_y"), other=F.col("seg") != F.col("_seg"))
+    found = near.groupBy("page").agg(F.greatest(F.lit(5.0), F.percentile(F.sqrt("d2"), F.lit(0.6))).alias("reach"))
+    return by_page(pages, found, "reach", 10.0)
+
+
+def point_spacing(points: DataFrame, pages: DataFrame) -> DataFrame:
+    """(page, eps): one and a half times the 90th percentile of the distance to the fourth nearest other point, 5 at the least; 10 for fewer than two.
+
+    Points are (page, point, x, y). Neighbours are ranked within their page, which a page of very many points makes slow.
+    """
+    other = points.select("page", F.col("point").alias("_point"), F.col("x").alias("_x"), F.col("y").alias("_y"))
+    d = points.join(other, "page").where("point <> _point").withColumn("d", F.sqrt(G.distance2("x", "y", "_x", "_y")))
+    kth = d.groupBy("page", "point").agg(F.sort_array(F.collect_list("d")).alias("l")).withColumn("d", F.get("l", F.least(F.size("l"), F.lit(3)) - 1))
+    k = points.groupBy("page").agg(F.count("*").alias("n"))
+    found = kth.join(k, "page").groupBy("page").agg(F.greatest(F.lit(5.0), F.percentile("d", F.lit(0.9)) * 1.5).alias("eps"))
+    return by_page(pages, found, "eps", 10.0)
+
+
+def separate(segments: DataFrame, factor: float = 3.0, least: float = 5.0, use_color: bool = False) -> DataFrame:
+    """segments other than curves with is_wire: axis-aligned and as long as ``factor`` times the page's lower quartile, ``least`` at the least.
+
+    With ``use_color`` shorter aligned segments in the colour of the page's wires are wires too, where wires have one.
+    """
+    sized = segments.where("kind <> 'curve'").withColumn("len", G.length())
     quarter = sized.where("len > 0.1").groupBy("page").agg(F.percentile("len", F.lit(0.25)).alias("p25"))
-    return sized.join(quarter, "page", "left").withColumn("is_wire", F.coalesce(G.axis_aligned() & (F.col("len") >= F.greatest(F.lit(least), factor * F.col("p25"))), F.lit(False)))
+    wire = F.coalesce(G.axis_aligned() & (F.col("len") >= F.greatest(F.lit(least), factor * F.col("p25"))), F.lit(False))
+    out = sized.join(quarter, "page", "left").withColumn("is_wire", wire).drop("p25", "len")
+    if use_color:
+        model = wire_color(out)
+        out = out.join(model, "page", "left").withColumn("is_wire", F.col("is_wire") | (G.axis_aligned() & G.same_color(F.col("color"), F.col("wire_color")))).drop("wire_color")
+    return out
+
+
+def dominant_color(segments: DataFrame) -> DataFrame:
+    """(page, color, n): the most frequent colour of each page, of equals the one drawn first."""
+    counted = segments.where("color is not null").groupBy("page", "color").agg(F.count("*").alias("n"), F.min("seg").alias("first"))
+    return counted.groupBy("page").agg(F.min(F.struct((-F.col("n")).alias("o"), "first", "color", "n")).alias("m")).select("page", "m.color", "m.n")
+
+
+def wire_color(separated: DataFrame, least: int = 4, distinct: float = 60.0) -> DataFrame:
+    """(page, wire_color) of pages whose wires have a colour: ``least`` coloured wires, ``distinct`` from what symbols mostly have."""
+    wires = dominant_color(separated.where("is_wire")).join(separated.where("is_wire and color is not null").groupBy("page").agg(F.count("*").alias("m")), "page")
+    symbols = dominant_color(separated.where("not is_wire")).select("page", F.col("color").alias("other"))
+    ok = (F.col("m") >= least) & (F.col("other").isNull() | (G.color_distance(F.col("color"), F.col("other")) >= distinct))
+    return wires.join(symbols, "page", "left").where(ok).select("page", F.col("color").alias("wire_color"))
+
+
+def merged(segments: DataFrame, gap: float = 0.0) -> DataFrame:
+    """Segments of one straight line that overlap or meet, at most ``gap`` apart, as one (page, x0, y0, x1, y1, n); others as they are.
+
+    A line is a direction and an offset from the origin, whatever the angle, to six decimals; curves and segments without
+    length pass through, with n = 1. Islands are found by each line's windows, so the order of drawing plays no part.
+    """
+    whole = segments.withColumn("len", G.length())
+    passed = whole.where("kind = 'curve' or len < 1e-9").select("page", "x0", "y0", "x1", "y1", F.lit(1).cast("long").alias("n"))
+    # towards growing x, or growing y where upright
+    turn = F.when((F.col("x1") - F.col("x0") < -1e-9) | ((F.abs(F.col("x1") - F.col("x0")) <= 1e-9) & (F.col("y1") < F.col("y0"))), -1.0).otherwise(1.0)
+    lines = whole.where("kind <> 'curve' and len >= 1e-9").withColumns({"ux": turn * (F.col("x1") - F.col("x0")) / F.col("len"), "uy": turn * (F.col("y1") - F.col("y0")) / F.col("len")})
+    along = lambda k: F.col(f"x{k}") * F.col("ux") + F.col(f"y{k}") * F.col("uy")
+    end = lambda k: F.struct(along(k).alias("t"), F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y"))
+    lines = lines.withColumns({"a": F.least(end(0), end(1)), "b": F.greatest(end(0), end(1)), "off": F.round(F.col("ux") * F.col("y0") - F.col("uy") * F.col("x0"), 6) + 0.0})
+    lines = lines.withColumns({"ux": F.round("ux", 6) + 0.0, "uy": F.round("uy", 6) + 0.0})
+    line = ["page", "ux", "uy", "off"]
+    order = Window.partitionBy(*line).orderBy("a", "b")
+    reach = F.max("b.t").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    cut = lines.withColumn("new", F.when(reach.isNull() | (F.col("a.t") > reach + (gap + 1e-9)), 1).otherwise(0))
+    cut = cut.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = cut.groupBy(*line, "island").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.count("*").alias("n"))
+    return joined.select("page", F.col("a.x").alias("x0"), F.col("a.y").alias("y0"), F.col("b.x").alias("x1"), F.col("b.y").alias("y1"), "n").unionByName(passed)
+
+
+def collinear_neighbors(segments: DataFrame, reach: float = 2.0, cosine: float = 0.9998) -> DataFrame:
+    """(page, a, b, gap) of segments in about one direction, either way round, with ends less than ``reach`` apart."""
+    sized = segments.select("page", "seg", "x0", "y0", "x1", "y1", G.length().alias("len")).where("len > 0")
+    pairs = meeting(padded(sized, reach), padded(sized)).where("seg < _seg")
+    turn = F.abs(G.dot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0"))) / (F.col("len") * F.col("_len"))
+    gap = F.sqrt(F.least(*(G.distance2(f"x{i}", f"y{i}", f"_x{j}", f"_y{j}") for i in (0, 1) for j in (0, 1))))
+    return pairs.withColumns({"cos": turn, "gap": gap}).where((F.col("cos") > cosine) & (F.col("gap") < reach)).select("page", F.col("seg").alias("a"), F.col("_seg").alias("b"), "gap")
+
+
+def boxes_of(members: DataFrame, by: list[str]) -> DataFrame:
+    """(*by, bx0, by0, bx1, by1) around all segments and boxes of a group; members have x0, y0, x1, y1."""
+    return members.groupBy(*by).agg(
+        F.min(F.least("x0", "x1")).alias("bx0"), F.min(F.least("y0", "y1")).alias("by0"), F.max(F.greatest("x0", "x1")).alias("bx1"), F.max(F.greatest("y0", "y1")).alias("by1"),
+    )
+
+
+def select_pins(segments: DataFrame, boxes: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """(*by, x, y) of a group's free ends at the rim of its box: as near as their median distance to it, 1 at the least."""
+    rim = F.least(F.col("x") - F.col("bx0"), F.col("bx1") - F.col("x"), F.col("y") - F.col("by0"), F.col("by1") - F.col("y"))
+    free = free_ends(segments, by).join(boxes, list(by)).withColumn("rim", rim)
+    tol = free.groupBy(*by).agg(F.greatest(F.lit(1.0), F.percentile("rim", F.lit(0.5))).alias("tol"))
+    return free.join(tol, list(by)).where("rim <= tol + 1e-3").select(*by, "x", "y")
 
 
 def one_per(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:

@@ -1,131 +1,163 @@
-"""Queries over the driver's tables, and the same in DuckDB's SQL."""
+"""All queries of the library's own operators: questions about the graph and texts here, drawings and scores beside."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from netloom.functions import geometry as G
 from netloom.functions import text as T
-from netloom.operators import checks, graph, spatial
+from netloom.operators import checks, graph, tools
+from netloom.plans import registry
+from netloom.plans.registry import query, view, with_views
 from netloom.sources import rendering as R
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES, ORACLE_SQL = registry.QUERIES, registry.ORACLE_SQL
 
-_VIEWS = {
-    "comp": "SELECT 'p' || p_partkey AS node, substr('RCLDQUJ', CAST(p_partkey % 7 + 1 AS INT), 1) || (p_partkey % 1000) AS ref, p_type AS class_name, p_name AS value FROM part",
-    "pin": "SELECT 'p' || l_partkey AS node, l_orderkey || '_' || l_linenumber AS pin_id, CASE WHEN l_returnflag = 'R' AND l_quantity >= 40 THEN 'o' || l_orderkey END AS net FROM lineitem",
-    "edge": "SELECT node, net, max(pin_id) AS pin_id FROM pin WHERE net IS NOT NULL GROUP BY node, net",
-    "net": "SELECT 'o' || o_orderkey AS net, CASE WHEN starts_with(o_orderpriority, '1') THEN 'VCC/' || o_orderkey WHEN o_orderstatus <> 'P' THEN 'Net-' || o_orderkey END AS name, o_orderkey AS ord FROM orders",
-    "seg": """SELECT page, seg, e.x0 AS x0, e.y0 AS y0, e.x1 AS x1, e.y1 AS y1 FROM (SELECT page, seg, min({'x0': x, 'y0': y, 'x1': x + dx, 'y1': y + dy}) AS e FROM (
-      SELECT l_orderkey AS page, l_linenumber AS seg, CAST(l_partkey % 40 AS DOUBLE) AS x, CAST(l_suppkey % 40 AS DOUBLE) AS y,
-        CASE WHEN l_linenumber % 2 = 1 OR l_linenumber % 5 = 0 THEN floor(l_quantity) ELSE 0.0 END AS dx, CASE WHEN l_linenumber % 2 = 0 OR l_linenumber % 5 = 0 THEN floor(l_quantity) ELSE 0.0 END AS dy FROM lineitem) GROUP BY page, seg)""",
-    "txt": "SELECT o_orderkey AS page, o_orderpriority AS label, CAST(o_custkey % 40 AS DOUBLE) AS px, CAST(o_orderkey % 40 AS DOUBLE) AS py FROM orders",
-}
-_NEEDS = {"edge": ["pin"]}
 
+def _graph(spark, sf_dir, thin=False) -> tools.Graph:
+    return tools.Graph(R.components(spark, sf_dir), R.nets(spark, sf_dir), R.edges(spark, sf_dir, thin))
 
-def _with(views: str, sql: str, recursive: str = "") -> str:
-    names: list[str] = []
-    for v in views.split():
-        names += [n for n in (*_NEEDS.get(v, []), v) if n not in names]
-    return f"WITH {'RECURSIVE ' if recursive else ''}" + ", ".join([*(f"{n} AS ({_VIEWS[n]})" for n in names), *([recursive] if recursive else [])]) + "\n" + sql
 
+# ---- questions about the graph
 
-def _d2(px: str, py: str, s: str = "") -> str:
-    dx, dy = f"({s}x1 - {s}x0)", f"({s}y1 - {s}y0)"
-    size = f"({dx} * {dx} + {dy} * {dy})"
-    t = f"(CASE WHEN {size} < 1e-12 THEN 0.0 ELSE greatest(0.0, least(1.0, (({px} - {s}x0) * {dx} + ({py} - {s}y0) * {dy}) / {size})) END)"
-    return f"(pow({px} - ({s}x0 + {t} * {dx}), 2) + pow({py} - ({s}y0 + {t} * {dy}), 2))"
+_RAIL = T.RAIL.replace("'", "''")
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
+@query(with_views("edge net", f"""SELECT net, coalesce(name, net) AS net_name, regexp_matches(coalesce(name, net), '{_RAIL}') AS is_rail, count(*) AS num_components
+FROM edge JOIN net USING (net) GROUP BY ALL HAVING count(*) >= 2"""))
+def nets_summary(spark, sf_dir):
+    """Nets that join two components or more, rails first."""
+    found = _graph(spark, sf_dir).get_nets_summary(2)
+    return found.select("net", "net_name", (F.col("type") == "power rail").alias("is_rail"), "num_components")
 
-    return add
 
+view("tool_letters", "comp", "SELECT *, regexp_extract(upper(ref), '^([A-Z]+)', 1) AS l FROM comp")
 
-# ---- questions about the graph
 
+def _case(expr: str, classes: dict[str, str]) -> str:
+    return f"CASE {expr} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in classes.items()) + " END"
 
-@query(_with("edge net", """SELECT net, coalesce(name, net) AS net_name, regexp_matches(coalesce(name, net), '(?i)^(GND|VCC|VDD|VEE|VSS)\\b') AS is_rail, count(*) AS num_components
-FROM edge JOIN net USING (net) GROUP BY ALL HAVING count(*) >= 2"""))
-def nets_summary(spark, sf_dir):
-    """Nets that join two components or more, rails first."""
-    e = R.edges(spark, sf_dir).groupBy("net").agg(F.count("*").alias("num_components")).where("num_components >= 2")
-    named = e.join(R.nets(spark, sf_dir), "net").withColumn("net_name", F.coalesce("name", "net"))
-    return named.select("net", "net_name", T.is_rail(F.col("net_name")).alias("is_rail"), "num_components").orderBy(F.desc("is_rail"), F.desc("num_components"), "net")
+
+_BY_REF = f"coalesce({_case('l', T.TOOL_CLASSES)}, {_case('substr(l, 1, greatest(length(l) - 1, 1))', T.TOOL_CLASSES)}, {_case('substr(l, 1, 1)', T.TOOL_CLASSES)}, 'unknown')"
+view("described", "tool_letters", f"SELECT node, ref, class_name, value, ref || ' (' || CASE WHEN class_name IN ('', 'unknown') OR class_name IS NULL THEN {_BY_REF} ELSE class_name END || CASE WHEN coalesce(value, '') IN ('', 'None') THEN '' ELSE ', ' || value END || ')' AS description FROM tool_letters")
 
 
-@query(_with("edge", "SELECT a.node, count(DISTINCT b.node) AS n_neighbors, min(b.node) AS first_neighbor FROM edge a JOIN edge b USING (net) WHERE a.node <> b.node GROUP BY a.node"))
+@query(with_views("edge", "SELECT a.node, count(DISTINCT b.node) AS n_neighbors, min(b.node) AS first_neighbor FROM edge a JOIN edge b USING (net) WHERE a.node <> b.node GROUP BY a.node"))
 def neighbors(spark, sf_dir):
     """Of each component, how many share a net with it, and the first by name."""
     return graph.neighbors(R.edges(spark, sf_dir)).groupBy("node").agg(F.count("*").alias("n_neighbors"), F.min("other").alias("first_neighbor"))
 
 
-@query(_with("edge comp", "SELECT net, string_agg(ref || ':' || pin_id, ',' ORDER BY ref, pin_id) AS members, count(*) AS num_components FROM edge JOIN comp USING (node) GROUP BY net"))
+@query(with_views("described edge net", """SELECT c.ref AS component, c.description, (SELECT string_agg(coalesce(name, net), ',' ORDER BY net) FROM net WHERE net IN (SELECT net FROM edge WHERE node = 'p7')) AS nets,
+(SELECT string_agg(DISTINCT ref, ',' ORDER BY ref) FROM comp WHERE node <> 'p7' AND node IN (SELECT b.node FROM edge a JOIN edge b USING (net) WHERE a.node = 'p7')) AS components FROM described c WHERE node = 'p7'"""))
+def ask_neighbors(spark, sf_dir):
+    """What is connected to the component R7, as the tool answers."""
+    found = _graph(spark, sf_dir).get_neighbors("r7")
+    return found.select(F.upper("component").alias("component"), F.col("component_description").alias("description"), F.array_join("connected_nets", ",").alias("nets"), F.array_join("connected_components", ",").alias("components"))
+
+
+@query(with_views("edge", """SELECT CASE WHEN EXISTS (SELECT 1 FROM edge a JOIN edge b USING (net) WHERE a.node = 'p7' AND b.node = 'p8') THEN 2
+  WHEN EXISTS (SELECT 1 FROM edge a JOIN edge b USING (net) JOIN edge c ON c.node = b.node JOIN edge d ON d.net = c.net WHERE a.node = 'p7' AND d.node = 'p8') THEN 4
+  WHEN EXISTS (SELECT 1 FROM (SELECT DISTINCT f.node FROM edge a JOIN edge b USING (net) JOIN edge c ON c.node = b.node JOIN edge f ON f.net = c.net WHERE a.node = 'p7') n JOIN edge g ON g.node = n.node JOIN edge h ON h.net = g.net WHERE h.node = 'p8') THEN 6 END AS length, true AS found"""))
+def ask_path(spark, sf_dir):
+    """How far apart two components are, by nets and components in turn."""
+    e = R.edges(spark, sf_dir).select(F.concat(F.lit("c"), "node").alias("a"), F.concat(F.lit("n"), "net").alias("b"))
+    at = lambda k: spark.range(1).select(F.lit(f"cp{k}").alias("node"))
+    way = graph.shortest_paths(e, at(7), at(8))
+    return way.select(F.col("length").cast("int").alias("length"), (F.size("path") == F.col("length") + 1).alias("found"))
+
+
+@query(with_views("edge comp", "SELECT net, string_agg(ref || ':' || pin_id, ',' ORDER BY ref, pin_id) AS members, count(*) AS num_components FROM edge JOIN comp USING (node) GROUP BY net"))
 def net_components(spark, sf_dir):
-    """Each net's components with the pins that join them."""
+    """Each net's components with the pins that join them. A net is one order, so its list is short."""
     e = R.edges(spark, sf_dir).join(R.components(spark, sf_dir).select("node", "ref"), "node")
     m = F.transform(F.array_sort(F.collect_list(F.struct("ref", "pin_id"))), lambda x: F.concat(x["ref"], F.lit(":"), x["pin_id"]))
     return e.groupBy("net").agg(F.array_join(m, ",").alias("members"), F.count("*").alias("num_components"))
 
 
-@query(_with("edge comp", "SELECT node, ref, class_name FROM comp WHERE node NOT IN (SELECT node FROM edge)"))
+@query(with_views("described edge net", f"""SELECT 'o33' AS net, CASE WHEN regexp_matches('o33', '{_RAIL}') THEN 'power rail' ELSE 'signal net' END AS type, string_agg(ref || '/' || pin_id || '/' || description, ';' ORDER BY ref, node) AS components, count(*) AS num_components
+FROM edge JOIN described USING (node) WHERE net = 'o33'"""))
+def ask_net(spark, sf_dir):
+    """The components on one net, as the tool answers."""
+    g = _graph(spark, sf_dir)
+    found = tools.Graph(g.components, g.nets.withColumn("name", F.lit(None).cast("string")), g.edges).get_net_components("o33")
+    return found.select("net", "type", F.array_join(F.transform("components", lambda c: F.concat_ws("/", c["ref"], c["pin"], c["description"])), ";").alias("components"), "num_components")
+
+
+@query(with_views("described thin_edge", "SELECT node, ref, description FROM described WHERE node NOT IN (SELECT node FROM thin_edge)"))
 def isolated_components(spark, sf_dir):
-    """Components without a wired pin."""
-    return R.components(spark, sf_dir).join(R.edges(spark, sf_dir), "node", "left_anti").select("node", "ref", "class_name")
+    """Components without a wired pin, in the thin view."""
+    return _graph(spark, sf_dir, thin=True).find_isolated()
 
 
-@query(_with("edge comp", "SELECT node, ref, value, class_name AS component_type, count(net) AS num_pins, min(net) AS first_net FROM comp LEFT JOIN edge USING (node) GROUP BY node, ref, value, class_name"))
+@query(with_views("edge comp", "SELECT node, ref, value, class_name AS component_type, count(net) AS num_pins, min(net) AS first_net FROM comp LEFT JOIN edge USING (node) GROUP BY node, ref, value, class_name"))
 def component_info(spark, sf_dir):
     """Each component with its number of nets."""
     joined = R.components(spark, sf_dir).join(R.edges(spark, sf_dir), "node", "left")
     return joined.groupBy("node", "ref", "value", F.col("class_name").alias("component_type")).agg(F.count("net").alias("num_pins"), F.min("net").alias("first_net"))
 
 
-@query(_with("comp", "SELECT node, value FROM comp WHERE value <> '' AND regexp_matches(value, '(?i)RING$|w.dget')"))
+@query(with_views("described edge net", "SELECT ref, description, value, class_name AS component_type, (SELECT count(*) FROM edge WHERE node = 'p7') AS num_pins, (SELECT string_agg(coalesce(name, net), ',' ORDER BY net) FROM net WHERE net IN (SELECT net FROM edge WHERE node = 'p7')) AS nets FROM described WHERE node = 'p7'"))
+def ask_component(spark, sf_dir):
+    """One component, as the tool answers."""
+    found = _graph(spark, sf_dir).get_component_info("R7")
+    return found.select("ref", "description", "value", "component_type", "num_pins", F.array_join("connected_nets", ",").alias("nets"))
+
+
+@query(with_views("described", "SELECT node, ref, value, description FROM described WHERE value <> '' AND regexp_matches(value, '(?i)RING$|w.dget')"))
 def search_by_value(spark, sf_dir):
     """Components whose value meets a pattern, whatever its case."""
-    return R.components(spark, sf_dir).where((F.col("value") != "") & F.col("value").rlike("(?i)RING$|w.dget")).select("node", "value")
+    return _graph(spark, sf_dir).search_by_value("RING$|w.dget")
+
+
+def _violations(comp: str, pin: str, net: str, edge: str) -> str:
+    return f"""SELECT 1 AS place, 'error' AS severity, 'ISOLATED_COMPONENT' AS rule, node AS item FROM {comp} WHERE node NOT IN (SELECT node FROM {edge})
+UNION ALL SELECT 2, 'warning', 'FLOATING_PIN', pin_id FROM {pin} WHERE net IS NULL UNION ALL SELECT 3, 'error', 'UNCONNECTED_NET', net FROM {net} WHERE net NOT IN (SELECT net FROM {edge})
+UNION ALL SELECT 3, 'warning', 'DANGLING_NET', net FROM {edge} GROUP BY net HAVING count(*) = 1 UNION ALL SELECT 4, 'warning', 'UNNAMED_NET', net FROM {net} WHERE name IS NULL OR name = ''"""
 
 
-@query(_with("comp edge net", """SELECT 'error' AS severity, 'ISOLATED_COMPONENT' AS rule, node AS item FROM comp WHERE node NOT IN (SELECT node FROM edge)
-UNION ALL SELECT 'warning', 'FLOATING_PIN', pin_id FROM pin WHERE net IS NULL UNION ALL SELECT 'error', 'UNCONNECTED_NET', net FROM net WHERE net NOT IN (SELECT net FROM edge)
-UNION ALL SELECT 'warning', 'DANGLING_NET', net FROM edge GROUP BY net HAVING count(*) = 1 UNION ALL SELECT 'warning', 'UNNAMED_NET', net FROM net WHERE name IS NULL OR name = ''"""))
+def _checked(spark, sf_dir, thin):
+    return checks.violations(R.components(spark, sf_dir), R.pins(spark, sf_dir, thin), R.nets(spark, sf_dir), R.edges(spark, sf_dir, thin))
+
+
+@query(with_views("comp pin net edge", _violations("comp", "pin", "net", "edge")))
 def erc_report(spark, sf_dir):
     """All violations of the rule checks."""
-    return checks.violations(R.components(spark, sf_dir), R.pins(spark, sf_dir), R.nets(spark, sf_dir), R.edges(spark, sf_dir))
+    return _checked(spark, sf_dir, False)
+
+
+@query(with_views("comp thin net thin_edge", _violations("comp", "thin", "net", "thin_edge")))
+def erc_report_thin(spark, sf_dir):
+    """The same in the thin view, where components are isolated and pins float."""
+    return _checked(spark, sf_dir, True)
 
 
-@query(_with("comp edge net", """SELECT severity, count(*) AS n FROM (SELECT 'error' AS severity FROM comp WHERE node NOT IN (SELECT node FROM edge)
-UNION ALL SELECT 'warning' FROM pin WHERE net IS NULL UNION ALL SELECT 'error' FROM net WHERE net NOT IN (SELECT net FROM edge)
-UNION ALL SELECT 'warning' FROM edge GROUP BY net HAVING count(*) = 1 UNION ALL SELECT 'warning' FROM net WHERE name IS NULL OR name = '') GROUP BY severity"""))
+@query(with_views("comp thin net thin_edge", f"""SELECT count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (severity = 'error') > 0 AS has_errors,
+count(*) FILTER (severity = 'error') || ' error(s), ' || count(*) FILTER (severity = 'warning') || ' warning(s)' AS summary FROM ({_violations("comp", "thin", "net", "thin_edge")})"""))
 def erc_summary(spark, sf_dir):
-    """Errors and warnings."""
-    return erc_report(spark, sf_dir).groupBy("severity").agg(F.count("*").alias("n"))
+    """Errors and warnings of the thin view."""
+    return checks.summary(_checked(spark, sf_dir, True))
 
 
-@query(_with("pin", "SELECT node, count(*) AS n_floating FROM pin WHERE net IS NULL GROUP BY node"))
+@query(with_views("thin", "SELECT node, count(*) AS n_floating FROM thin WHERE net IS NULL GROUP BY node"))
 def floating_pins(spark, sf_dir):
-    """Unwired pins by component."""
-    return R.pins(spark, sf_dir).where("net is null").groupBy("node").agg(F.count("*").alias("n_floating"))
+    """Unwired pins of the thin view by component."""
+    return R.pins(spark, sf_dir, thin=True).where("net is null").groupBy("node").agg(F.count("*").alias("n_floating"))
 
 
-@query("""SELECT l_suppkey AS page, count(DISTINCT l_partkey) AS n_components, count(DISTINCT l_orderkey) AS n_nets, round(count(DISTINCT l_orderkey) * 1.0 / count(DISTINCT l_partkey), 2) AS ratio,
-  count(DISTINCT l_orderkey) * 1.0 / count(DISTINCT l_partkey) <= 8.0 AND count(DISTINCT l_partkey) <= 80 AS in_scope FROM lineitem GROUP BY l_suppkey""")
+_SCOPE = "SELECT l_suppkey AS page, count(DISTINCT l_partkey) AS c, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1 UNION ALL SELECT -1, 0, 0 UNION ALL SELECT -2, 8, 517 UNION ALL SELECT -3, 42, 261"
+
+
+@query(f"""SELECT page, c AS n_components, n AS n_nets, CASE WHEN c = 0 THEN CAST('inf' AS DOUBLE) ELSE round(n / c, 2) END AS ratio, (c > 0 AND n / c <= 8.0) AND c <= 80 AS in_scope,
+  CASE WHEN (c > 0 AND n / c <= 8.0) AND c <= 80 THEN 'high' ELSE 'low' END AS confidence,
+  CASE WHEN (c > 0 AND n / c <= 8.0) AND c <= 80 THEN 'in supported density envelope' ELSE concat_ws('; ', CASE WHEN c = 0 THEN 'bus-dominated (nets/comp inf > 8.0)' WHEN n / c > 8.0 THEN 'bus-dominated (nets/comp ' || printf('%.1f', n / c) || ' > 8.0)' END,
+    CASE WHEN c > 80 THEN 'too large (' || c || ' comps > 80)' END) END AS reason FROM (SELECT page, CAST(c AS DOUBLE) AS cd, c, CAST(n AS BIGINT) AS n FROM ({_SCOPE}))""")
 def scope_gate(spark, sf_dir):
-    """Whether each supplier's drawing is within scope."""
+    """Whether each supplier's drawing is within scope, and why not; three fixed rows have no component, many nets, and a few too many."""
     n = R.table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("page")).agg(F.count_distinct("l_partkey").alias("n_components"), F.count_distinct("l_orderkey").alias("n_nets"))
-    ratio, ok = checks.scope(F.col("n_components"), F.col("n_nets"))
-    return n.select("page", "n_components", "n_nets", F.round(ratio, 2).alias("ratio"), ok.alias("in_scope"))
+    fixed = spark.createDataFrame([(-1, 0, 0), (-2, 8, 517), (-3, 42, 261)], "page long, n_components long, n_nets long")
+    return checks.assessed(n.unionByName(fixed))
 
 
 # ---- texts and classes
@@ -154,8 +186,19 @@ def text_predicates(spark, sf_dir):
     return _texts(spark, sf_dir).select("id", T.is_ref(t).alias("is_ref"), T.is_value(t).alias("is_value"), T.is_net_label(t).alias("is_label"))
 
 
-def _case(expr: str, classes: dict[str, str]) -> str:
-    return f"CASE {expr} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in classes.items()) + " END"
+@query(with_views("net", f"""SELECT net, coalesce(name, net) AS net_name, regexp_matches(coalesce(name, net), '{_RAIL}') AS is_rail, {' OR '.join(f"contains(upper(coalesce(name, net)), '{p}')" for p in T.POWER)} AS is_power,
+  coalesce(name, net) || CASE WHEN regexp_matches(coalesce(name, net), '{_RAIL}') THEN ' (power rail)' ELSE ' (signal net)' END AS description, regexp_matches(coalesce(name, net), '^[0-9]+$') AS is_number FROM net"""))
+def net_kinds(spark, sf_dir):
+    """Rails by their beginning, power nets by what is anywhere in their name, and how each net is described."""
+    n = R.nets(spark, sf_dir).withColumn("net_name", T.net_name(F.col("name"), F.col("net")))
+    name = F.col("net_name")
+    return n.select("net", "net_name", T.is_rail(name).alias("is_rail"), T.is_power(name).alias("is_power"), T.describe_net(name).alias("description"), name.rlike("^[0-9]+$").alias("is_number"))
+
+
+@query(with_views("described", "SELECT node, description FROM described"))
+def descriptions(spark, sf_dir):
+    """One line for each component."""
+    return _graph(spark, sf_dir).described().select("node", "description")
 
 
 @query(f"""SELECT id, ref,
@@ -172,233 +215,71 @@ def classify_by_ref(spark, sf_dir):
     return d.select("id", "ref", T.tool_class(r).alias("tool_class"), T.rule_class(r).alias("rule_class"), T.detector_class(r).alias("detector_class"))
 
 
-@query("SELECT lang, CAST(sum(length(regexp_replace(coalesce(text, ''), '[ \\t\\n\\r\\f\\v]', '', 'g'))) AS BIGINT) AS n_visible, count(*) AS n FROM documents GROUP BY lang")
+@query("SELECT lang, CAST(sum(length(regexp_replace(coalesce(text, ''), '[ \\t\\n\\r\\f\\v]', '', 'g'))) AS BIGINT) AS n_visible, count(*) AS n, count(*) FILTER (length(regexp_replace(coalesce(text, ''), '[ \\t\\n\\r\\f\\v]', '', 'g')) < 16) AS n_to_recognise FROM documents GROUP BY lang")
 def visible_chars(spark, sf_dir):
     """Characters other than white space, which decide whether a page needs its text read from the picture."""
-    d = R.table(spark, sf_dir, "documents")
-    return d.groupBy("lang").agg(F.sum(F.char_length(F.regexp_replace(F.coalesce("text", F.lit("")), "[ \\t\\n\\r\\f\\x0b]", ""))).alias("n_visible"), F.count("*").alias("n"))
-
-
-# ---- segments
-
-
-@query(_with("seg", "SELECT page, seg, sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)) AS len, (x0 + x1) / 2 AS mx, (y0 + y1) / 2 AS my, abs(x1 - x0) + abs(y1 - y0) >= 0.1 AND (degrees(atan2(abs(y1 - y0), abs(x1 - x0))) <= 5 OR degrees(atan2(abs(y1 - y0), abs(x1 - x0))) >= 85) AS aligned FROM seg").replace("sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)) AS len", "round(sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)), 6) AS len"))
-def segment_measures(spark, sf_dir):
-    """Length, middle and direction of each segment."""
-    return R.segments(spark, sf_dir).select("page", "seg", F.round(G.length(), 6).alias("len"), ((F.col("x0") + F.col("x1")) / 2).alias("mx"), ((F.col("y0") + F.col("y1")) / 2).alias("my"), G.axis_aligned().alias("aligned"))
-
-
-@query(_with("seg", """SELECT page, seg, coalesce(al AND len >= greatest(5.0, 3.0 * p25), false) AS is_wire FROM (SELECT *, quantile_cont(len, 0.25) FILTER (len > 0.1) OVER (PARTITION BY page) AS p25 FROM (SELECT *,
-sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)) AS len, abs(x1 - x0) + abs(y1 - y0) >= 0.1 AND (degrees(atan2(abs(y1 - y0), abs(x1 - x0))) <= 5 OR degrees(atan2(abs(y1 - y0), abs(x1 - x0))) >= 85) AS al FROM seg))"""))
-def separate_wires(spark, sf_dir):
-    """Wires by direction and by length against the page's lower quartile."""
-    return spatial.quantile_split(R.segments(spark, sf_dir)).select("page", "seg", "is_wire")
-
-
-@query(_with("seg", "SELECT page, greatest(1.0, round(l[greatest(0, CAST(floor(0.1 * len(l)) AS INT) - 1) + 1], 6)) AS scale FROM (SELECT page, list(len ORDER BY len) AS l FROM (SELECT page, sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)) AS len FROM seg) WHERE len > 0.1 GROUP BY page)"))
-def estimate_scale(spark, sf_dir):
-    """The nearest-rank tenth percentile of lengths, by page."""
-    s = R.segments(spark, sf_dir).select("page", G.length().alias("len")).where("len > 0.1")
-    at = F.greatest(F.lit(0), F.floor(0.1 * F.size("l")) - 1).cast("int")
-    return s.groupBy("page").agg(F.sort_array(F.collect_list("len")).alias("l")).select("page", F.greatest(F.lit(1.0), F.round(F.get("l", at), 6)).alias("scale"))
-
-
-_TOUCH = " OR ".join(f"{_d2(f'{p}.x{k}', f'{p}.y{k}', f'{s}.')} <= pow(1.001, 2)" for p, s in (("a", "b"), ("b", "a")) for k in (0, 1))
-
-
-@query(_with("seg", f"SELECT a.page, a.seg AS a, b.seg AS b FROM seg a JOIN seg b ON a.page = b.page AND a.seg < b.seg WHERE {_TOUCH}"))
-def segments_touch(spark, sf_dir):
-    """Pairs of segments of a page that touch."""
-    return spatial.touching(R.segments(spark, sf_dir))
-
-
-@query(_with("seg", f"SELECT a.page, a.seg AS a, b.seg AS b FROM seg a JOIN seg b ON a.page = b.page AND a.seg < b.seg WHERE {_TOUCH}"))
-def segments_touch_grid(spark, sf_dir):
-    """The same through cells, as for pages too large to pair whole."""
-    return spatial.touching(R.segments(spark, sf_dir), cell=16.0)
-
-
-@query(_with("seg", f"""SELECT s.page, s.seg, min(r.root) AS net FROM seg s JOIN reach r ON s.page = r.page AND s.seg = r.seg GROUP BY s.page, s.seg""",
-  f"""link AS (SELECT a.page, a.seg AS a, b.seg AS b FROM seg a JOIN seg b ON a.page = b.page AND a.seg <> b.seg WHERE {_TOUCH}),
-reach AS (SELECT page, seg, seg AS root FROM seg UNION SELECT r.page, link.b AS seg, r.root FROM reach r JOIN link ON link.page = r.page AND link.a = r.seg)"""))
-def build_nets(spark, sf_dir):
-    """The net of each segment: the first segment that touching ones lead to."""
-    s = R.segments(spark, sf_dir)
-    key = lambda c: F.col("page") * 1000 + F.col(c)
-    net = graph.components(spatial.touching(s).select(key("a").alias("a"), key("b").alias("b")))
-    return s.select("page", "seg", key("seg").alias("id")).join(net, "id", "left").select("page", "seg", F.coalesce(F.col("component") % 1000, "seg").cast("int").alias("net"))
-
-
-@query(_with("seg txt", f"SELECT page, seg, round(d2, 6) AS d2 FROM (SELECT page, seg, {_d2('px', 'py')} AS d2, row_number() OVER (PARTITION BY page ORDER BY {_d2('px', 'py')}, seg) AS r FROM seg JOIN txt USING (page)) WHERE r = 1"))
-def nearest_wire(spark, sf_dir):
-    """The nearest segment of each page's label; the first of equals."""
-    return spatial.nearest(R.texts(spark, sf_dir), R.segments(spark, sf_dir), ["page"]).select("page", "seg", F.round("d2", 6).alias("d2"))
-
-
-@query(_with("seg txt", f"SELECT page, seg, round(d2, 6) AS d2 FROM (SELECT page, seg, {_d2('px', 'py')} AS d2, row_number() OVER (PARTITION BY page ORDER BY {_d2('px', 'py')}, seg DESC) AS r FROM seg JOIN txt USING (page)) WHERE r = 1 AND d2 <= 25"))
-def nearest_net(spark, sf_dir):
-    """The nearest segment within 5 units; the last of equals."""
-    return spatial.nearest(R.texts(spark, sf_dir), R.segments(spark, sf_dir), ["page"], most=5.0, last=True).select("page", "seg", F.round("d2", 6).alias("d2"))
-
-
-_BOX = "least(x0, x1) - 2 AS bx0, least(y0, y1) - 2 AS by0, greatest(x0, x1) + 2 AS bx1, greatest(y0, y1) + 2 AS by1"
-
-
-def _boxes(s):
-    return s.select("page", "seg", (F.least("x0", "x1") - 2).alias("bx0"), (F.least("y0", "y1") - 2).alias("by0"), (F.greatest("x0", "x1") + 2).alias("bx1"), (F.greatest("y0", "y1") + 2).alias("by1"))
-
+    d = R.table(spark, sf_dir, "documents").withColumn("v", T.visible_characters(F.col("text")))
+    return d.groupBy("lang").agg(F.sum("v").alias("n_visible"), F.count("*").alias("n"), F.count_if(F.col("v") < 16).alias("n_to_recognise"))
 
-@query(_with("seg", f"SELECT a.page, a.seg AS a, b.seg AS b FROM (SELECT page, seg, {_BOX} FROM seg) a JOIN (SELECT page, seg, {_BOX} FROM seg) b ON a.page = b.page AND a.seg < b.seg WHERE a.bx0 <= b.bx1 AND b.bx0 <= a.bx1 AND a.by0 <= b.by1 AND b.by0 <= a.by1"))
-def box_overlap(spark, sf_dir):
-    """Segments whose padded boxes meet."""
-    b = _boxes(R.segments(spark, sf_dir))
-    return spatial.overlapping(b, b).where("seg < _seg").select("page", F.col("seg").alias("a"), F.col("_seg").alias("b"))
 
+@query("""SELECT page_id AS doc, CASE WHEN contains(m, 'kicad') THEN 'kicad' WHEN contains(m, 'altium') THEN 'altium' WHEN contains(m, 'eagle') THEN 'eagle' WHEN contains(t, 'Sheet') AND contains(t, 'Date:') AND regexp_matches(t, '[A-Z]\\d{1,4}') THEN 'altium'
+  WHEN contains(upper(t), 'KICAD') OR contains(t, '.kicad_sch') THEN 'kicad' ELSE 'unknown' END AS format FROM (SELECT page_id, lower(CASE page_id % 7 WHEN 0 THEN 'KiCad 7' WHEN 1 THEN 'Altium Designer' WHEN 2 THEN 'x' ELSE '' END || CASE page_id % 5 WHEN 0 THEN 'EAGLE' ELSE '' END) AS m,
+  CASE page_id % 3 WHEN 0 THEN 'Sheet 1 Date: R' || page_id WHEN 1 THEN 'main.kicad_sch' ELSE coalesce(html, '') END AS t FROM pages)""")
+def source_formats(spark, sf_dir):
+    """Which program drew a document."""
+    from netloom.sources import drawings
 
-@query(_with("seg txt", f"SELECT page, seg FROM (SELECT page, seg, row_number() OVER (PARTITION BY page ORDER BY (bx1 - bx0) * (by1 - by0), seg) AS r FROM (SELECT page, seg, {_BOX} FROM seg) JOIN txt USING (page) WHERE px BETWEEN bx0 AND bx1 AND py BETWEEN by0 AND by1) WHERE r = 1"))
-def smallest_box(spark, sf_dir):
-    """The smallest box around each label."""
-    inside = _boxes(R.segments(spark, sf_dir)).join(R.texts(spark, sf_dir), "page").where("px between bx0 and bx1 and py between by0 and by1")
-    return spatial.one_per(inside, ["page"], [(F.col("bx1") - F.col("bx0")) * (F.col("by1") - F.col("by0")), F.col("seg")]).select("page", "seg")
+    k = F.col("page_id")
+    p = R.table(spark, sf_dir, "pages")
+    docs = p.select(k.alias("doc"), F.when(k % 7 == 0, "KiCad 7").when(k % 7 == 1, "Altium Designer").when(k % 7 == 2, "x").alias("producer"), F.when(k % 5 == 0, "EAGLE").alias("creator"), F.when(k % 3 == 0, F.concat(F.lit("Sheet 1 Date: R"), k)).when(k % 3 == 1, "main.kicad_sch").otherwise(F.col("html")).alias("first_page"))
+    return drawings.formats(docs)
 
 
-@query(_with("seg", "SELECT page, x, y FROM (SELECT page, x0 AS x, y0 AS y FROM seg UNION ALL SELECT page, x1, y1 FROM seg) GROUP BY page, x, y HAVING count(*) = 1"))
-def free_endpoints(spark, sf_dir):
-    """Ends that no other segment shares."""
-    return spatial.free_ends(R.segments(spark, sf_dir))
-
-
-@query(_with("seg", """SELECT page, y0, min(lo) AS lo, max(hi) AS hi, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY page, y0 ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS island FROM (
-SELECT page, y0, lo, hi, CASE WHEN lo <= max(hi) OVER (PARTITION BY page, y0 ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM (SELECT page, y0, least(x0, x1) AS lo, greatest(x0, x1) AS hi FROM seg WHERE y0 = y1))) GROUP BY page, y0, island"""))
-def collinear_merge(spark, sf_dir):
-    """Level segments in a line that meet, as one."""
-    return spatial.merged(R.segments(spark, sf_dir)).select("page", "y0", "lo", "hi", "n")
-
-
-@query(_with("seg", "SELECT CAST(least(floor(len / 5), 9) AS BIGINT) AS bin, count(*) AS n, round(avg(len), 6) AS mean FROM (SELECT sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)) AS len FROM seg) GROUP BY 1"))
-def length_histogram(spark, sf_dir):
-    """Ten bins of lengths."""
-    s = R.segments(spark, sf_dir).select(G.length().alias("len"))
-    return s.groupBy(F.least(F.floor(F.col("len") / 5), F.lit(9)).cast("long").alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg("len"), 6).alias("mean"))
-
-
-@query(_with("seg", """SELECT page, count(*) AS n_segments, round(ln(1 + sum(len)), 6) AS log_total, round(stddev_pop(len), 6) AS spread, round(max(greatest(x0, x1)) - min(least(x0, x1)), 6) AS width, round(max(greatest(y0, y1)) - min(least(y0, y1)), 6) AS height
-FROM (SELECT *, sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)) AS len FROM seg) GROUP BY page"""))
-def features(spark, sf_dir):
-    """Counts, lengths, spread and extent of each page's drawing."""
-    s = R.segments(spark, sf_dir).withColumn("len", G.length())
-    return s.groupBy("page").agg(
-        F.count("*").alias("n_segments"), F.round(F.log1p(F.sum("len")), 6).alias("log_total"), F.round(F.stddev_pop("len"), 6).alias("spread"),
-        F.round(F.max(F.greatest("x0", "x1")) - F.min(F.least("x0", "x1")), 6).alias("width"), F.round(F.max(F.greatest("y0", "y1")) - F.min(F.least("y0", "y1")), 6).alias("height"),
-    )
+@query("""SELECT id, round(s / 25.4 * 72, 6) AS mm_to_points, round(s / 72 * 25.4, 6) AS points_to_mm, round(s * CAST(0.0254 AS DOUBLE), 6) AS mils_to_mm, round(s / 0.0254, 6) AS mm_to_mils,
+  round(s * CAST(0.0254 AS DOUBLE) / 25.4 * 72, 6) AS mils_to_points, round(s / 72 * 25.4 / 0.0254, 6) AS points_to_mils FROM (SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS s FROM part)""")
+def unit_conversions(spark, sf_dir):
+    """Millimetres, mils and points."""
+    s = F.col("p_size").cast("double")
+    return R.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), *(F.round(f(s), 6).alias(f.__name__) for f in (G.mm_to_points, G.points_to_mm, G.mils_to_mm, G.mm_to_mils, G.mils_to_points, G.points_to_mils)))
 
 
-# ---- graph algorithms and scores
+# ---- graph algorithms
 
 
-@query(_with("edge", "SELECT degree, count(*) AS n FROM (SELECT net, count(*) AS degree FROM edge GROUP BY net) GROUP BY degree"))
+@query(with_views("edge", "SELECT degree, count(*) AS n FROM (SELECT net, count(*) AS degree FROM edge GROUP BY net) GROUP BY degree"))
 def degree_histogram(spark, sf_dir):
     """How many nets join how many components."""
     return R.edges(spark, sf_dir).groupBy("net").agg(F.count("*").alias("degree")).groupBy("degree").agg(F.count("*").alias("n"))
 
 
-@query("""WITH RECURSIVE link AS (SELECT DISTINCT s_nationkey AS a, n_regionkey + 1000 AS b FROM supplier JOIN nation ON s_nationkey = n_nationkey),
-both_ways AS (SELECT a, b FROM link UNION SELECT b, a FROM link), reach AS (SELECT a AS id, a AS root FROM both_ways UNION SELECT b, root FROM reach JOIN both_ways ON a = id)
-SELECT id, min(root) AS component FROM reach GROUP BY id""")
-def label_merge(spark, sf_dir):
-    """Groups of nations whose suppliers share a region: union of nets by label."""
-    s, n = R.table(spark, sf_dir, "supplier"), R.table(spark, sf_dir, "nation")
-    links = s.join(F.broadcast(n), s.s_nationkey == n.n_nationkey).select(F.col("s_nationkey").cast("long").alias("a"), (F.col("n_regionkey") + 1000).cast("long").alias("b")).distinct()
-    return graph.components(links)
-
-
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT s_nationkey AS a, 100 + n_regionkey AS b FROM supplier JOIN nation ON s_nationkey = n_nationkey), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-r AS (SELECT CAST(0 AS INT) AS node, 0 AS length UNION SELECT u.b, r.length + 1 FROM r JOIN u ON u.a = r.node WHERE r.length < 6) SELECT CAST(node AS BIGINT) AS node, min(length) AS length FROM r GROUP BY node""")
-def shortest_path(spark, sf_dir):
-    """Edges between nation 0 and everything it reaches."""
-    s, n = R.table(spark, sf_dir, "supplier"), R.table(spark, sf_dir, "nation")
-    e = s.join(F.broadcast(n), s.s_nationkey == n.n_nationkey).select(F.col("s_nationkey").cast("long").alias("a"), (F.col("n_regionkey") + 100).cast("long").alias("b")).distinct()
-    return graph.distances(e, spark.range(1).select(F.col("id").alias("node")))
-
-
-def _overlaps(spark, sf_dir):
-    li = R.table(spark, sf_dir, "lineitem")
-    gt = li.select(F.col("l_suppkey").alias("gt"), F.col("l_partkey").alias("ref")).distinct()
-    ext = li.where("l_linenumber % 5 <> 0").select((F.col("l_suppkey") * 2 + F.col("l_quantity").cast("long") % 2).alias("ext"), F.col("l_partkey").alias("ref")).distinct()
-    return gt, ext, ext.join(gt, "ref").groupBy("ext", "gt").agg(F.count("*").alias("overlap"))
-
+view("thin_link", "", "SELECT DISTINCT l_partkey AS a, l_orderkey + 1000000000 AS b FROM lineitem WHERE l_quantity <= 1")
+view("thin_both", "thin_link", "SELECT a, b FROM thin_link UNION ALL SELECT b, a FROM thin_link")
+view("thin_reach", "thin_both", "SELECT a AS id, a AS root FROM thin_both UNION SELECT l.b, g.root FROM thin_reach g JOIN thin_both l ON l.a = g.id WHERE l.b > g.root")
 
-@query()
-def greedy_match(spark, sf_dir):
-    """Extracted nets matched one to one with true ones by their common parts; the order is total."""
-    pairs = _overlaps(spark, sf_dir)[2].withColumn("board", F.lit(0))
-    return graph.greedy_match(pairs, [F.desc("overlap"), F.desc("ext"), F.desc("gt")], "ext", "gt", ["board"]).select("ext", "gt", "overlap")
 
+def _thin_links(spark, sf_dir):
+    li = R.table(spark, sf_dir, "lineitem").where("l_quantity <= 1")
+    return li.select(F.col("l_partkey").alias("a"), (F.col("l_orderkey") + 1_000_000_000).alias("b")).distinct()
 
-@query()
-def net_f1(spark, sf_dir):
-    """True and false positives, and misses, of the matched nets' memberships."""
-    gt, ext, _ = _overlaps(spark, sf_dir)
-    tp = greedy_match(spark, sf_dir).agg(F.coalesce(F.sum("overlap"), F.lit(0)).alias("tp"))
-    n = tp.crossJoin(gt.agg(F.count("*").alias("n_gt"))).crossJoin(ext.agg(F.count("*").alias("n_ext")))  # one row each
-    p, r = F.try_divide("tp", "n_ext"), F.try_divide("tp", "n_gt")
-    return n.select("tp", (F.col("n_ext") - F.col("tp")).alias("fp"), (F.col("n_gt") - F.col("tp")).alias("fn"), F.round(F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)), 6).alias("f1"))
 
+@query(with_views("thin_reach", "SELECT id, min(root) AS component FROM thin_reach GROUP BY id"))
+def components_of_graph(spark, sf_dir):
+    """Connected components of parts and orders in the thin view, by the rounds that serve graphs of any size."""
+    return graph.components(_thin_links(spark, sf_dir))
 
-@query("""WITH g AS (SELECT DISTINCT l_orderkey AS net, l_partkey AS ref FROM lineitem), e AS (SELECT DISTINCT l_orderkey AS net, l_partkey AS ref FROM lineitem WHERE l_linenumber % 5 <> 0),
-gp AS (SELECT DISTINCT a.ref AS a, b.ref AS b FROM g a JOIN g b ON a.net = b.net AND a.ref < b.ref), ep AS (SELECT DISTINCT a.ref AS a, b.ref AS b FROM e a JOIN e b ON a.net = b.net AND a.ref < b.ref)
-SELECT (SELECT count(*) FROM (SELECT * FROM gp INTERSECT SELECT * FROM ep)) AS tp, (SELECT count(*) FROM (SELECT * FROM ep EXCEPT SELECT * FROM gp)) AS fp, (SELECT count(*) FROM (SELECT * FROM gp EXCEPT SELECT * FROM ep)) AS fn""")
-def pair_f1(spark, sf_dir):
-    """Pairs of parts that share a net, found against true."""
-    li = R.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("net"), F.col("l_partkey").alias("ref"), "l_linenumber")
 
-    def pairs(m):
-        m = m.select("net", "ref").distinct()
-        return m.alias("a").join(m.alias("b"), "net").where("a.ref < b.ref").select(F.col("a.ref").alias("a"), F.col("b.ref").alias("b")).distinct()
+view("part_order", "", "SELECT DISTINCT l_partkey AS a, l_orderkey + 1000000000 AS b FROM lineitem")
+view("part_order_both", "part_order", "SELECT a, b FROM part_order UNION ALL SELECT b, a FROM part_order")
 
-    both = pairs(li).withColumn("g", F.lit(1)).join(pairs(li.where("l_linenumber % 5 <> 0")).withColumn("e", F.lit(1)), ["a", "b"], "full_outer")
-    return both.agg(F.count_if(F.expr("g = 1 and e = 1")).alias("tp"), F.count_if(F.expr("g is null")).alias("fp"), F.count_if(F.expr("e is null")).alias("fn"))
 
-
-@query("""SELECT p_type AS class_name, count(*) AS n_missing, count(*) FILTER (deg <= 2) AS low, count(*) FILTER (deg BETWEEN 3 AND 4) AS middle, count(*) FILTER (deg >= 5) AS high
-FROM lineitem JOIN part ON l_partkey = p_partkey JOIN (SELECT l_orderkey AS k, count(*) AS deg FROM lineitem GROUP BY 1) ON k = l_orderkey WHERE l_linenumber % 5 = 0 GROUP BY p_type""")
-def error_buckets(spark, sf_dir):
-    """Missed memberships by class and by the net's degree."""
-    li, p = R.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber"), R.table(spark, sf_dir, "part")
-    deg = li.groupBy("l_orderkey").agg(F.count("*").alias("deg"))
-    j = li.where("l_linenumber % 5 = 0").join(deg, "l_orderkey").join(p, F.col("l_partkey") == F.col("p_partkey"))
-    return j.groupBy(F.col("p_type").alias("class_name")).agg(F.count("*").alias("n_missing"), F.count_if(F.expr("deg <= 2")).alias("low"), F.count_if(F.expr("deg between 3 and 4")).alias("middle"), F.count_if(F.expr("deg >= 5")).alias("high"))
-
-
-_KEY = "string_agg(DISTINCT CAST(l_partkey % 20 AS VARCHAR), ',' ORDER BY CAST(l_partkey % 20 AS VARCHAR))"
-
-
-@query(f"""WITH a AS (SELECT l_orderkey AS id, {_KEY} AS k FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1), b AS (SELECT l_orderkey AS id, {_KEY} AS k FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1)
-SELECT k, coalesce(na, 0) AS n_first, coalesce(nb, 0) AS n_second, least(coalesce(na, 0), coalesce(nb, 0)) AS n_matched FROM (SELECT k, count(*) AS na FROM a GROUP BY k) FULL JOIN (SELECT k, count(*) AS nb FROM b GROUP BY k) USING (k)""")
-def net_equivalence(spark, sf_dir):
-    """Nets of two netlists that have equal sets, as multisets."""
-    li = R.table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_partkey") % 20).cast("string").alias("m"), "l_returnflag")
-    key = lambda flag, n: li.where(F.col("l_returnflag") == flag).groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_set("m")), ",").alias("k")).groupBy("k").agg(F.count("*").alias(n))
-    j = key("R", "na").join(key("A", "nb"), "k", "full_outer").na.fill(0, ["na", "nb"])
-    return j.select("k", F.col("na").alias("n_first"), F.col("nb").alias("n_second"), F.least("na", "nb").alias("n_matched"))
-
-
-# ---- sinks and logs
-
-
-@query(_with("pin comp", "SELECT ref || ' ' || string_agg(coalesce(net, pin_id), ' ' ORDER BY pin_id, coalesce(net, pin_id)) || ' ' || class_name AS line FROM comp JOIN pin USING (node) GROUP BY node, ref, class_name"))
-def spice_lines(spark, sf_dir):
-    """A line of the netlist for each component, unwired pins by their own names."""
-    p = R.pins(spark, sf_dir).join(R.components(spark, sf_dir), "node")
-    pins = F.transform(F.array_sort(F.collect_list(F.struct("pin_id", F.coalesce("net", "pin_id").alias("n")))), lambda x: x["n"])
-    return p.groupBy("node", "ref", "class_name").agg(pins.alias("l")).select(F.concat_ws(" ", "ref", F.array_join("l", " "), "class_name").alias("line"))
+@query(with_views("part_order_both", "SELECT node, min(length) AS length FROM (WITH RECURSIVE r AS (SELECT min(a) AS node, 0 AS length FROM part_order_both UNION SELECT l.b, r.length + 1 FROM r JOIN part_order_both l ON l.a = r.node WHERE r.length < 9) SELECT * FROM r) GROUP BY node"))
+def shortest_path(spark, sf_dir):
+    """Edges between the first part and every part and order that it reaches."""
+    links = R.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), (F.col("l_orderkey") + 1_000_000_000).alias("b")).distinct()
+    return graph.distances(links, links.agg(F.min("a").alias("node")))
 
 
-@query(_with("edge", """SELECT net, '{"net":"' || net || '","nodes":["' || string_agg(node, '","' ORDER BY node) || '"]}' AS json FROM edge GROUP BY net"""))
-def netlist_json(spark, sf_dir):
-    """A JSON object for each net."""
-    e = R.edges(spark, sf_dir).groupBy("net").agg(F.array_sort(F.collect_list("node")).alias("nodes"))
-    return e.select("net", F.to_json(F.struct("net", "nodes")).alias("json"))
+# ---- logs
 
 
 @query("SELECT conv_id, count(*) AS n_messages, count(*) FILTER (role = 'user') AS n_user, max(turn) AS last_turn, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS n_chars FROM conversations GROUP BY conv_id")
@@ -408,6 +289,22 @@ def message_log(spark, sf_dir):
     return c.groupBy("conv_id").agg(F.count("*").alias("n_messages"), F.count_if(F.expr("role = 'user'")).alias("n_user"), F.max("turn").alias("last_turn"), F.sum(F.char_length(F.coalesce("text", F.lit("")))).alias("n_chars"))
 
 
+view("run", "", """SELECT conv_id, list_extract(['get_path', 'find_isolated', 'get_nets_summary'], CAST(conv_id % 3 AS INT) + 1) AS tool, list(list_extract(['get_path', 'find_isolated', 'get_nets_summary', 'get_neighbors'], CAST((conv_id + turn) % 4 AS INT) + 1) ORDER BY turn) AS called,
+  string_agg('{"start_ref": "R' || turn || '"}', ' ' ORDER BY turn) AS args, min(CASE WHEN turn = 0 THEN coalesce(text, '') END) AS answer, 'R' || conv_id % 3 AS key, conv_id % 11 = 0 AS maxed FROM conversations GROUP BY conv_id""")
+
+
+@query(with_views("run", """SELECT conv_id, CAST(CASE WHEN list_contains(called, tool) THEN 2 + CASE WHEN contains(lower(args), lower(key)) THEN 1 ELSE 0 END + CASE WHEN contains(lower(coalesce(answer, '')), 'the') THEN 1 ELSE 0 END ELSE 0 END
+  + CASE WHEN NOT maxed AND len(called) <= 9 AND trim(coalesce(answer, '')) <> '' AND NOT contains(lower(coalesce(answer, '')), 'could not answer') THEN 1 ELSE 0 END AS INT) AS score FROM run"""))
+def tool_rubric(spark, sf_dir):
+    """Scores of answered questions by the tools that were called for them."""
+    c = R.table(spark, sf_dir, "conversations")
+    names = F.array(*map(F.lit, ("get_path", "find_isolated", "get_nets_summary", "get_neighbors")))
+    call = F.struct("turn", F.get(names, ((F.col("conv_id") + F.col("turn")) % 4).cast("int")).alias("t"), F.concat(F.lit('{"start_ref": "R'), "turn", F.lit('"}')).alias("a"))
+    runs = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(call)).alias("l"), F.coalesce(F.min(F.when(F.col("turn") == 0, F.coalesce("text", F.lit("")))), F.lit("")).alias("answer"))
+    runs = runs.select("conv_id", F.get(names, (F.col("conv_id") % 3).cast("int")).alias("tool"), F.transform("l", lambda x: x["t"]).alias("called"), F.transform("l", lambda x: x["a"]).alias("arguments"), "answer", F.array(F.concat(F.lit("R"), F.col("conv_id") % 3)).alias("arg_keys"), F.array(F.lit("the")).alias("entities"), (F.col("conv_id") % 11 == 0).alias("maxed_out"))
+    return tools.rubric(runs).select("conv_id", "score")
+
+
 @query("""SELECT user_id, CAST(island AS BIGINT) AS island, count(*) AS n, string_agg(event_type, '' ORDER BY event_id) AS merged FROM (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS island FROM (
 SELECT *, CASE WHEN event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) < 50 THEN 0 ELSE 1 END AS brk FROM events)) GROUP BY user_id, island""")
 def span_merge(spark, sf_dir):
@@ -420,100 +317,4 @@ def span_merge(spark, sf_dir):
     return cut.groupBy("user_id", "island").agg(F.count("*").alias("n"), text.alias("merged"))
 
 
-@query("SELECT p_partkey AS id, round(p_size / 25.4 * 72, 6) AS points, round(p_size * 0.0254, 6) AS mm_of_mils, round(p_size * 1.0 / 72 * 25.4, 6) AS mm_of_points FROM part")
-def unit_conversions(spark, sf_dir):
-    """Millimetres, mils and points."""
-    s = F.col("p_size").cast("double")
-    return R.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.round(G.mm_to_points(s), 6).alias("points"), F.round(G.mils_to_mm(s), 6).alias("mm_of_mils"), F.round(s / 72 * 25.4, 6).alias("mm_of_points"))
-
-
-# ---- adaptive tolerances, colours and evaluation
-
-
-_ENDS = "SELECT page, seg, x0 AS x, y0 AS y FROM seg UNION ALL SELECT page, seg, x1, y1 FROM seg"
-
-
-def _ends(s):
-    end = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
-    return s.select("page", "seg", F.explode(F.array(end("x0", "y0"), end("x1", "y1"))).alias("e")).select("page", "seg", "e.x", "e.y")
-
-
-@query(_with("seg", f"""SELECT page, round(CASE WHEN p25 < 0.1 THEN 1.0 ELSE p25 END, 6) AS tol FROM (SELECT page, quantile_cont(sqrt(d2), 0.25) AS p25 FROM (
-SELECT e.page, e.seg, e.x, e.y, e.k, min({_d2('e.x', 'e.y', 's.')}) AS d2 FROM (SELECT page, seg, x0 AS x, y0 AS y, 0 AS k FROM seg UNION ALL SELECT page, seg, x1, y1, 1 FROM seg) e
-JOIN seg s ON s.page = e.page AND s.seg <> e.seg GROUP BY ALL) GROUP BY page)"""))
-def wire_tolerance(spark, sf_dir):
-    """Each page's tolerance: the lower quartile of ends' distances to the nearest other segment."""
-    s = R.segments(spark, sf_dir)
-    o = s.select("page", F.col("seg").alias("other"), "x0", "y0", "x1", "y1")
-    e = s.select("page", "seg", F.posexplode(F.array(F.struct(F.col("x0").alias("x"), F.col("y0").alias("y")), F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")))).alias("k", "e"))
-    near = e.join(o, "page").where("seg <> other").groupBy("page", "seg", "k").agg(F.min(G.point_segment_d2("e.x", "e.y", "x0", "y0", "x1", "y1")).alias("d2"))
-    p25 = near.groupBy("page").agg(F.percentile(F.sqrt("d2"), F.lit(0.25)).alias("p25"))
-    return p25.select("page", F.round(F.when(F.col("p25") < 0.1, 1.0).otherwise(F.col("p25")), 6).alias("tol"))
-
-
-@query(_with("seg", f"""SELECT page, round(greatest(5.0, quantile_cont(d, 0.6)), 6) AS link_dist FROM (SELECT a.page, a.seg, a.x, a.y, min(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))) AS d
-FROM (SELECT DISTINCT page, seg, x, y FROM ({_ENDS})) a JOIN ({_ENDS}) b ON a.page = b.page AND a.seg <> b.seg GROUP BY ALL) GROUP BY page"""))
-def link_distance(spark, sf_dir):
-    """Each page's linking distance: the 60th percentile of ends' distances to the nearest end of another segment."""
-    e = _ends(R.segments(spark, sf_dir))
-    o = e.select("page", F.col("seg").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"))
-    near = e.distinct().join(o, "page").where("seg <> other").groupBy("page", "seg", "x", "y").agg(F.min(F.sqrt(G.distance2("x", "y", "ox", "oy"))).alias("d"))
-    return near.groupBy("page").agg(F.round(F.greatest(F.lit(5.0), F.percentile("d", F.lit(0.6))), 6).alias("link_dist"))
-
-
-@query(_with("seg", f"""SELECT f.page, f.x, f.y FROM (SELECT page, x, y FROM ({_ENDS}) GROUP BY page, x, y HAVING count(*) = 1) f JOIN (SELECT page, min(least(x0, x1)) AS bx0, min(least(y0, y1)) AS by0,
-max(greatest(x0, x1)) AS bx1, max(greatest(y0, y1)) AS by1 FROM seg GROUP BY page) b USING (page) WHERE least(f.x - bx0, bx1 - f.x, f.y - by0, by1 - f.y) <= 1.001"""))
-def select_pins(spark, sf_dir):
-    """Free ends at the rim of the page's drawing: the pins of a component."""
-    s = R.segments(spark, sf_dir)
-    box = s.groupBy("page").agg(F.min(F.least("x0", "x1")).alias("bx0"), F.min(F.least("y0", "y1")).alias("by0"), F.max(F.greatest("x0", "x1")).alias("bx1"), F.max(F.greatest("y0", "y1")).alias("by1"))
-    rim = F.least(F.col("x") - F.col("bx0"), F.col("bx1") - F.col("x"), F.col("y") - F.col("by0"), F.col("by1") - F.col("y"))
-    return spatial.free_ends(s).join(box, "page").where(rim <= 1.001).select("page", "x", "y")
-
-
-@query(_with("seg", f"""SELECT a.page, a.seg AS a, b.seg AS b FROM seg a JOIN seg b ON a.page = b.page AND a.seg < b.seg
-WHERE least(pow(a.x0 - b.x0, 2) + pow(a.y0 - b.y0, 2), pow(a.x0 - b.x1, 2) + pow(a.y0 - b.y1, 2), pow(a.x1 - b.x0, 2) + pow(a.y1 - b.y0, 2), pow(a.x1 - b.x1, 2) + pow(a.y1 - b.y1, 2)) <= 64"""))
-def linked_segments(spark, sf_dir):
-    """Segments with ends within 8 units of each other: the edges of single-linkage clusters."""
-    s = R.segments(spark, sf_dir)
-    d = [G.distance2(f"a.x{i}", f"a.y{i}", f"b.x{j}", f"b.y{j}") for i in (0, 1) for j in (0, 1)]
-    pairs = s.alias("a").join(s.alias("b"), [F.col("a.page") == F.col("b.page"), F.col("a.seg") < F.col("b.seg")]).where(F.least(*d) <= 64)
-    return pairs.select("a.page", F.col("a.seg").alias("a"), F.col("b.seg").alias("b"))
-
-
-@query("""SELECT p_brand AS symbol, round(greatest(0.0, 1 - min(sqrt(pow(p_size % 10 - 5, 2) + pow(p_partkey % 10 - 5, 2))) / 50), 6) AS confidence,
-  arg_min(p_partkey, (sqrt(pow(p_size % 10 - 5, 2) + pow(p_partkey % 10 - 5, 2)), p_partkey)) AS ref FROM part GROUP BY p_brand""")
-def nearest_symbol(spark, sf_dir):
-    """The nearest designator of each symbol and how sure it is."""
-    p = R.table(spark, sf_dir, "part")
-    d = F.sqrt(F.pow(F.col("p_size") % 10 - 5, F.lit(2)) + F.pow(F.col("p_partkey") % 10 - 5, F.lit(2)))
-    best = p.groupBy(F.col("p_brand").alias("symbol")).agg(F.min(F.struct(d.alias("d"), "p_partkey")).alias("m"))
-    return best.select("symbol", F.round(F.greatest(F.lit(0.0), 1 - F.col("m.d") / 50), 6).alias("confidence"), F.col("m.p_partkey").alias("ref"))
-
-
-@query("""SELECT p_brand, color, n FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, color) AS r FROM (SELECT p_brand, p_type AS color, count(*) AS n FROM part GROUP BY ALL)) WHERE r = 1""")
-def dominant_color(spark, sf_dir):
-    """The most frequent colour of each group, the first by name among equals."""
-    n = R.table(spark, sf_dir, "part").groupBy("p_brand", F.col("p_type").alias("color")).agg(F.count("*").alias("n"))
-    return spatial.one_per(n, ["p_brand"], [F.desc("n"), F.col("color")]).select("p_brand", "color", "n")
-
-
-@query("""SELECT o_custkey AS ref, list_sort(list(o_totalprice))[CAST(floor(count(*) / 2) AS INT) + 1] AS upper_median, round(quantile_cont(o_totalprice, 0.5), 6) AS median, min(o_totalprice) AS low, max(o_totalprice) AS high FROM orders GROUP BY o_custkey""")
-def board_medians(spark, sf_dir):
-    """Upper and interpolated medians, as scores over boards are reported."""
-    o = R.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("ref"))
-    out = o.agg(F.sort_array(F.collect_list("o_totalprice")).alias("l"), F.round(F.percentile("o_totalprice", F.lit(0.5)), 6).alias("median"), F.min("o_totalprice").alias("low"), F.max("o_totalprice").alias("high"))
-    return out.select("ref", F.get("l", F.floor(F.size("l") / 2).cast("int")).alias("upper_median"), "median", "low", "high")
-
-
-@query("SELECT s_suppkey AS board, CASE WHEN row_number() OVER (ORDER BY s_suppkey) % 5 = 0 THEN 'val' ELSE 'train' END AS split, s_nationkey AS class FROM supplier")
-def dataset_split(spark, sf_dir):
-    """Every fifth board in order validates. One row a board: the global order is over a small table."""
-    s = R.table(spark, sf_dir, "supplier")
-    return s.select(F.col("s_suppkey").alias("board"), F.when(F.row_number().over(Window.orderBy("s_suppkey")) % 5 == 0, "val").otherwise("train").alias("split"), F.col("s_nationkey").alias("class"))
-
-
-@query(_with("edge comp", """SELECT r.node, count(*) AS lost FROM (SELECT DISTINCT node FROM pin WHERE net IS NULL) r WHERE r.node NOT IN (SELECT node FROM edge) GROUP BY r.node"""))
-def lost_refs(spark, sf_dir):
-    """Components that have pins, none of them wired."""
-    return R.pins(spark, sf_dir).where("net is null").select("node").distinct().join(R.edges(spark, sf_dir), "node", "left_anti").groupBy("node").agg(F.count("*").alias("lost"))
+from netloom.plans import drawing, scores  # noqa: E402, F401  (they register theirs)
