@@ -2,26 +2,21 @@
 
 from __future__ import annotations
 
-import sys
+from collections.abc import Callable
 
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.operators.graph import components
 from netloom.plans.scratch import checkpoint_dir, drop, remove, scope, written
+from netloom.plans.workers import ship
 
-__all__ = ["SPACE", "bounded_sample", "checkpoint_dir", "components", "drop", "partitions", "remove", "scope", "ship", "spread_join", "tune", "written"]
+__all__ = ["SPACE", "bounded_sample", "carried", "checkpoint_dir", "components", "drop", "partitions", "remove", "scope", "ship", "spread_join", "tune", "written"]
 
 #: White space between words is 0x20 and 0x09-0x0D in every contract; bytes.split() cuts at the same six bytes.
 SPACE = r"\x20\x09-\x0D"
 
 
-def ship(module: str) -> None:
-    """Sends the functions of ``module`` to workers by value: executors need not have this package installed."""
-    cloudpickle.register_pickle_by_value(sys.modules[module])
-
-
 ship(__name__)
 
 
@@ -58,3 +53,13 @@ def spread_join(rows: DataFrame, classes: DataFrame, key: str, size: str = "copi
     rows = rows.join(F.broadcast(hot), key, "left").withColumn("_part", dealt).drop("_hot")
     last = F.when(F.col(size) > bar, parts - 1).otherwise(0)
     return rows.join(classes.withColumn("_part", F.explode(F.sequence(F.lit(0), last))), [key, "_part"], "left").drop("_part")
+
+
+def carried(docs: DataFrame, op: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``op`` makes of docs, with all columns of docs as they were but for text, whatever their names.
+
+    ``op`` is given doc_id and text by name and all others under names that no operator uses, and returns them too.
+    """
+    safe = [c if c in ("doc_id", "text") else f"carried_{i}" for i, c in enumerate(docs.columns)]
+    out = op(docs.toDF(*safe))
+    return out.select(*(F.col(s).alias(c) for s, c in zip(safe, docs.columns, strict=True)))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import components, partitions, ship, tune, written
+from netloom.llm.common import components, partitions, ship, spread_join, tune, written
 
 ship(__name__)
 
@@ -240,8 +240,9 @@ def similar(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
     of ``width`` words, and two documents link when 100 * |intersection| >= threshold * |union|. class_id is the
     smallest id with the same set, component_id the smallest id reachable by links. Null, empty and blank texts have
     an empty set and link with nothing: they are classes of their own. An id that
-    stands in rows of several texts links with what any of them links with.
-    An empty table gives an empty one. Shingles are compared by 64-bit hashes.
+    stands in rows of several texts links with what any of them links with. Rows without an id are copies of whatever
+    has their set, and otherwise link with nothing and have no component. Ties at the threshold link. A very long text
+    is one row of hashes. An empty table gives an empty one. Shingles are compared by 64-bit hashes.
     """
     spark = docs.sparkSession
     tune(spark)
@@ -252,7 +253,7 @@ def similar(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
         total[row["chunk"] * (SLOTS // CHUNKS) : (row["chunk"] + 1) * (SLOTS // CHUNKS)] = np.frombuffer(row["counts"], np.int64)
     rows = seen.where("chunk is null").select("doc_id", "n", "key")
     signs = seen.where("chunk is null and n > 0")
-    classes = written(signs.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("sign").alias("sign")))
+    classes = written(signs.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("sign").alias("sign"), F.count("*").alias("copies")))
     spread = spark.sparkContext.broadcast(total)
     prefixes = docs.mapInArrow(_prefixes(width, threshold, spread), "rep long, n long, many int, tokens array<long>")
     tokens = prefixes.join(classes.select("rep"), "rep", "left_semi").select(F.explode("tokens").alias("token"), "rep", "n", "many")
@@ -285,7 +286,7 @@ def similar(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
     second = _links(written(pairs), one_text, width, threshold)
     final = components(first.unionByName(second))
 
-    classed = rows.where("n > 0").join(classes.drop("sign"), "key").select("doc_id", "n", F.col("rep").alias("class_id"))
+    classed = spread_join(rows.where("n > 0"), classes.drop("sign"), "key").select("doc_id", "n", F.col("rep").alias("class_id"))
     classed = classed.join(final.withColumnRenamed("id", "class_id"), "class_id", "left")
     out = classed.select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("component", "class_id").alias("component_id"))
     empty = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
