@@ -228,14 +228,15 @@ def _sketches(length: int, buckets: int):
             many = np.logical_or.reduceat(np.concatenate([[False], ~head[1:] & (doc[1:] != doc[:-1])]), starts) if len(starts) else head
             value, check = value[starts], _check_set(ids, texts)
             bucket = (value * np.uint64(buckets)) >> np.uint64(40)
-            cuts = np.searchsorted(bucket, np.arange(buckets + 1).astype(np.uint64))
-            used = [b for b in range(buckets) if cuts[b + 1] > cuts[b]]
+            used, cuts = np.unique(bucket, return_index=True)
+            cuts = np.append(cuts, len(bucket)).tolist()
             for at in range(0, len(used), 512):
                 some = used[at : at + 512]
+                spans = list(zip(cuts[at : at + len(some)], cuts[at + 1 : at + len(some) + 1], strict=True))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([block] * len(some), pa.int64()), pa.array(some, pa.int32()), pa.array([check] * len(some), pa.int64()),
-                    pa.array([pack(np.diff(value[cuts[b] : cuts[b + 1]], prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)[:, :5].T.tobytes()) for b in some], pa.binary()),
-                    pa.array([np.packbits(many[cuts[b] : cuts[b + 1]]).tobytes() for b in some], pa.binary()),
+                    pa.array([block] * len(some), pa.int64()), pa.array(some.astype(np.int32)), pa.array([check] * len(some), pa.int64()),
+                    pa.array([pack(np.diff(value[a:b], prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)[:, :5].T.tobytes()) for a, b in spans], pa.binary()),
+                    pa.array([np.packbits(many[a:b]).tobytes() for a, b in spans], pa.binary()),
                 ], names=["block", "bucket", "check", "parts", "many"])
 
         block, ids, texts = None, [], []
@@ -413,6 +414,8 @@ def find_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     A byte goes if a string of ``length`` bytes that covers it also starts in a document with a smaller doc_id.
     Matches never cross documents, and are judged on the input. Null and empty texts have no bytes. Rows of one id
     leave each other alone; a null id counts as larger than all others. An empty table gives an empty one.
+    Strings are compared byte by byte, by suffix order; answers go back to their blocks by 64-bit hashes of positions.
+    A very long text is cut where blocks need it and comes back whole.
     The input is read twice and has to give the same rows in the same order, as files do; what comes out of a shuffle
     is written first.
     """
@@ -424,7 +427,7 @@ def find_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
         docs = written(docs)
     docs = docs.drop("n_bytes", "spans", "kept", "_block")
     size = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    buckets = min(max(64, docs.rdd.getNumPartitions() * max(16, size >> 20)), 1 << 16)
+    buckets = min(max(64, docs.rdd.getNumPartitions() * max(16, size >> 20)), 1 << 24)  # hashes have 40 bits
     plain = lambda fields: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     rows = docs.mapInArrow(_row_blocks(docs.columns.index("text")), plain(docs.schema.fields) + ", _block long")
     sketches = docs.select("doc_id", "text").mapInArrow(_sketches(length, buckets), "block long, bucket int, check long, parts binary, many binary")
