@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import base64
 import zlib
-from array import array
 from collections import defaultdict
 from itertools import batched, chain
 
@@ -24,8 +23,8 @@ from netloom.llm.common import ship, tune, written
 
 ship(__name__)
 
-#: A block ends after so many pre-tokens, or so many distinct stretches of text.
-BLOCK_TOKENS, BLOCK_STRETCHES = 3_000_000, 350_000
+#: A block ends after so many words between spaces, or so many distinct ones.
+BLOCK_WORDS, BLOCK_STRETCHES = 1_600_000, 240_000
 #: Rows of a token-byte table.
 MOST_TOKENS = 2_000_000
 
@@ -36,40 +35,56 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
 
 
+class Numbers(dict):
+    """Strings by the order in which they were met."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class Block:
-    """Numbers the pre-tokens of one block.
+    """Numbers the pre-tokens of one block of documents.
 
-    Text is cut before single spaces between other characters. No match of the pattern crosses such a place, so a
-    stretch is split once and remembered.
+    Text is cut at single spaces between other characters. No match of the pattern crosses the place before such a
+    space, so the block's distinct stretches are split once, all at a time as they follow each other behind spaces; a
+    document with other white space beside a space is split as a whole.
     """
 
     def __init__(self, pattern):
-        self.find, self.words, self.stretches, self.tokens = pattern.findall, {}, {}, 0
-
-    def numbers(self, stretch: str) -> list[int]:
-        words = self.words
-        return [words.setdefault(w, len(words)) for w in self.find(stretch)]
-
-    def stretch(self, part: str):
-        if not part or part[0].isspace() or part[-1].isspace():
-            found = None  # white space beside the cut: the document is split as a whole
-        else:
-            found = self.numbers(" " + part)
-        self.stretches[part] = found
-        return found
-
-    def codes(self, text: str) -> array:
-        head, *parts = text.split(" ")
-        known, out = self.stretches, None
-        if parts and head and not head[-1].isspace():
-            try:
-                out = array("i", chain(self.numbers(head), chain.from_iterable([known[p] if p in known else self.stretch(p) for p in parts])))
-            except TypeError:
-                out = None
-        if out is None:
-            out = array("i", self.numbers(text))
-        self.tokens += len(out)
-        return out
+        self.find, self.known, self.words = pattern.findall, Numbers(), Numbers()
+        self.ids, self.texts, self.parts, self.size = [], [], [], 0
+
+    def add(self, doc_id: int | None, text: str) -> None:
+        _, *parts = text.split(" ")
+        self.parts.append(np.fromiter(map(self.known.__getitem__, parts), np.int32, len(parts)))
+        self.ids.append(doc_id)
+        self.texts.append(text)
+        self.size += 1 + len(parts)
+
+    def full(self) -> bool:
+        return self.size >= BLOCK_WORDS or len(self.known) >= BLOCK_STRETCHES
+
+    def codes(self):
+        """The numbers of each document's pre-tokens, in turn; ``words`` has them all when the last one is read."""
+        sound = np.fromiter((p != "" and not p[0].isspace() and not p[-1].isspace() for p in self.known), bool, len(self.known))
+        tokens = self.find(" " + " ".join([p for p, ok in zip(self.known, sound.tolist(), strict=True) if ok])) if sound.any() else []
+        number = self.words.__getitem__
+        flat = np.fromiter(map(number, tokens), np.int32, len(tokens))
+        first = np.nonzero(np.fromiter((t[0] == " " for t in tokens), bool, len(tokens)))[0]
+        if len(first) != sound.sum():
+            raise ValueError("the pattern matches across a single space")
+        start, size = np.zeros(len(sound), np.int64), np.full(len(sound), -1, np.int64)
+        start[sound], size[sound] = first, np.diff(np.append(first, len(flat)))
+        for text, at in zip(self.texts, self.parts, strict=True):
+            head = text.partition(" ")[0]
+            sizes = size[at]
+            if len(at) and head and not head[-1].isspace() and sizes.min() >= 0:
+                ends = np.cumsum(sizes)
+                rest = flat[np.repeat(start[at] - (ends - sizes), sizes) + np.arange(ends[-1])]
+                yield np.concatenate([np.fromiter(map(number, self.find(head)), np.int32), rest])
+            else:
+                yield np.fromiter(map(number, self.find(text)), np.int32)
 
 
 def squeeze(numbers: np.ndarray) -> bytes:
@@ -88,7 +103,7 @@ def unsqueeze(data: bytes) -> np.ndarray:
 
 
 def _blocks(pattern: str, buckets: int | None):
-    """Cuts a partition into blocks. With ``buckets`` it gives each block's distinct words, dealt by their bytes; else its documents, and last a row with the words' checksum."""
+    """Cuts a partition into blocks. With ``buckets`` it gives each block's distinct words, dealt by their bytes; else its documents."""
 
     def rows(names, types, *columns):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
@@ -96,51 +111,44 @@ def _blocks(pattern: str, buckets: int | None):
     def words_of(at, block):
         import zstandard
 
+        for _ in block.codes():
+            pass
         squeezer, dealt = zstandard.ZstdCompressor(level=3), defaultdict(list)
         words = [w.encode() for w in block.words]
         for code, word in enumerate(words):
             dealt[zlib.crc32(word) % buckets].append(code)
+        check = zlib.crc32(b"\xff".join(words))
         for own in batched(dealt.items(), 256):
             yield rows(
                 ["block", "bucket", "check", "codes", "words"], [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()],
-                [at] * len(own), [b for b, _ in own], [zlib.crc32(b"\xff".join(words))] * len(own),
+                [at] * len(own), [b for b, _ in own], [check] * len(own),
                 [squeeze(np.diff(np.array(c, np.int32), prepend=0)) for _, c in own],
                 [squeezer.compress(b"\xff".join([words[x] for x in c])) for _, c in own],
             )
 
-    def documents_of(at, ids, codes):
-        return rows(["block", "doc_id", "check", "codes"], [pa.int64(), pa.int64(), pa.int64(), pa.binary()], [at] * len(ids), ids, [None] * len(ids), codes)
+    def documents_of(at, block):
+        """The documents, and last a row with the words' checksum."""
+        for own in batched(zip(block.ids, block.codes(), strict=True), 1000):
+            yield documents(at, [i for i, _ in own], [squeeze(c) for _, c in own], None)
+        yield documents(at, [None], [None], zlib.crc32(b"\xff".join([w.encode() for w in block.words])))
 
-    def end_of(at, block):
-        check = zlib.crc32(b"\xff".join([w.encode() for w in block.words]))
-        return rows(["block", "doc_id", "check", "codes"], [pa.int64(), pa.int64(), pa.int64(), pa.binary()], [at], [None], [check], [None])
+    def documents(at, ids, codes, check):
+        return rows(["block", "doc_id", "check", "codes"], [pa.int64(), pa.int64(), pa.int64(), pa.binary()], [at] * len(ids), ids, [check] * len(ids), codes)
 
     def cut(batches):
         import regex
         from pyspark import TaskContext
 
         compiled, at = regex.compile(pattern), TaskContext.get().partitionId() << 32
+        give = words_of if buckets else documents_of
         block = Block(compiled)
         for batch in batches:
-            ids, codes = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = block.codes(text or "")
-                if not buckets:
-                    ids.append(doc_id)
-                    codes.append(squeeze(np.frombuffer(found, np.int32)))
-                if block.tokens >= BLOCK_TOKENS or len(block.stretches) >= BLOCK_STRETCHES:
-                    if buckets:
-                        yield from words_of(at, block)
-                    else:
-                        yield documents_of(at, ids, codes)
-                        yield end_of(at, block)
-                    ids, codes, block, at = [], [], Block(compiled), at + 1
-            if ids:
-                yield documents_of(at, ids, codes)
-        if buckets:
-            yield from words_of(at, block)
-        else:
-            yield end_of(at, block)
+                block.add(doc_id, text or "")
+                if block.full():
+                    yield from give(at, block)
+                    block, at = Block(compiled), at + 1
+        yield from give(at, block)
 
     return cut
 
@@ -196,6 +204,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     The input is read twice and has to give the same rows in the same order, as files do; what comes out of a shuffle
     is written first.
     """
+    return _encoded(docs, ranks_path, pattern).applyInArrow(_assemble, "doc_id long, ids array<int>")
+
+
+def _encoded(docs: DataFrame, ranks_path: str, pattern: str):
+    """Blocks of documents beside the ids of their words, to be put together."""
     spark = docs.sparkSession
     tune(spark)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
@@ -206,30 +219,29 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     kind = "block long, check long, codes binary, ids binary, sizes binary"
     answered = asked.groupBy("bucket").applyInArrow(_encoder(ranks_path, pattern), kind)
     bodies = docs.mapInArrow(_blocks(pattern, None), "block long, doc_id long, check long, codes binary")
-    return bodies.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(_assemble, "doc_id long, ids array<int>")
+    return bodies.groupBy("block").cogroup(answered.groupBy("block"))
+
 
+HEADS = "n long, id int, docs array<long>, sizes array<int>, codes binary"
 
-def _asked(top: int):
-    """Each batch of documents as a head (ids, lengths, codes of their tokens) and after it a row for each distinct token, numbered ``n``."""
+
+def _heads(top: int):
+    """Documents as a head (ids, lengths, codes of their tokens) and behind it a row for each distinct token, numbered ``n``."""
     kinds = {"n": pa.int64(), "id": pa.int32(), "docs": pa.list_(pa.int64()), "sizes": pa.list_(pa.int32()), "codes": pa.binary()}
 
-    def ask(batches):
-        n = 0
-        for batch in batches:
-            lists = batch.column("ids")
-            values = lists.flatten().to_numpy(zero_copy_only=False)
-            if len(values) and not 0 <= values.min() <= values.max() <= top:
-                raise ValueError(f"ids run from {values.min()} to {values.max()}; the table has 0 to {top}")
-            place = np.zeros(top + 1, np.int32)
-            place[values] = 1
-            distinct = np.nonzero(place)[0].astype(np.int32)
-            place[distinct] = np.arange(len(distinct), dtype=np.int32)
-            sizes = lists.value_lengths().fill_null(0).to_pylist()
-            head = [[n], [None], [batch.column("doc_id").to_pylist()], [sizes], [place[values].astype(np.int32).tobytes()]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(head, kinds.values(), strict=True)], names=[*kinds])
-            rows = [np.arange(n + 1, n + 1 + len(distinct)), distinct, *[pa.nulls(len(distinct), t) for t in [*kinds.values()][2:]]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) if isinstance(c, np.ndarray) else c for c, t in zip(rows, kinds.values(), strict=True)], names=[*kinds])
-            n += 1 + len(distinct)
+    def ask(documents: pa.Table) -> pa.Table:
+        lists = documents.column("ids").combine_chunks()
+        values = lists.flatten().to_numpy(zero_copy_only=False)
+        if len(values) and not 0 <= values.min() <= values.max() <= top:
+            raise ValueError(f"ids run from {values.min()} to {values.max()}; the table has 0 to {top}")
+        place = np.zeros(top + 1, np.int32)
+        place[values] = 1
+        distinct = np.nonzero(place)[0].astype(np.int32)
+        place[distinct] = np.arange(len(distinct), dtype=np.int32)
+        sizes = lists.value_lengths().fill_null(0).to_pylist()
+        head = [[0], [None], [documents.column("doc_id").to_pylist()], [sizes], [place[values].astype(np.int32).tobytes()]]
+        rows = [np.arange(1, 1 + len(distinct)), distinct, *[pa.nulls(len(distinct), t) for t in [*kinds.values()][2:]]]
+        return pa.concat_tables(pa.table([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(some, kinds.values(), strict=True)], names=[*kinds]) for some in (head, rows))
 
     return ask
 
@@ -250,9 +262,9 @@ def _answered(batches):
     head, ids, tokens, due = None, [], [], 0
     for batch in batches:
         for n, id_, docs, sizes, codes, token in zip(*(batch.column(c).to_pylist() for c in ("n", "id", "docs", "sizes", "codes", "token")), strict=True):
-            if n != due:
+            if n not in (due, 0) or (n == 0) != (id_ is None):
                 raise RuntimeError("the join changed the order of its rows")
-            due += 1
+            due = n + 1
             if id_ is None:
                 if head:
                     yield documents(*head, ids, tokens)
@@ -264,6 +276,19 @@ def _answered(batches):
         yield documents(*head, ids, tokens)
 
 
+def _joined(heads: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    spark = heads.sparkSession
+    tokens = spark.createDataFrame(pa.table({"id": pa.array([*ranks.values()], pa.int32()), "token": pa.array([*ranks], pa.binary())}))
+    return heads.join(F.broadcast(tokens), "id", "left").mapInArrow(_answered, "doc_id long, ids array<int>, decoded binary")
+
+
+def _table(ranks_path: str) -> dict[bytes, int]:
+    ranks = read_ranks(ranks_path)
+    if len(ranks) > MOST_TOKENS:
+        raise ValueError(f"a table of {len(ranks)} tokens is no vocabulary")
+    return ranks
+
+
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """encoded (doc_id, ids) with the bytes that the ids stand for, as column ``decoded``.
 
@@ -272,13 +297,21 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     the input's size, and so is broadcast: a streamed side keeps its order, which is checked. Null ids are no tokens; an
     id without a row in the table is an error.
     """
-    ranks = read_ranks(ranks_path)
-    if len(ranks) > MOST_TOKENS:
-        raise ValueError(f"a table of {len(ranks)} tokens is no vocabulary")
-    spark, top = encoded.sparkSession, max(ranks.values(), default=0)
-    tokens = spark.createDataFrame(pa.table({"id": pa.array([*ranks.values()], pa.int32()), "token": pa.array([*ranks], pa.binary())}))
-    asked = encoded.select("doc_id", "ids").mapInArrow(_asked(top), "n long, id int, docs array<long>, sizes array<int>, codes binary")
-    return asked.join(F.broadcast(tokens), "id", "left").mapInArrow(_answered, "doc_id long, ids array<int>, decoded binary")
+    ranks = _table(ranks_path)
+    heads = _heads(max(ranks.values(), default=0))
+
+    def ask(batches):
+        for batch in batches:
+            yield from heads(pa.Table.from_batches([batch])).to_batches()
+
+    return _joined(encoded.select("doc_id", "ids").mapInArrow(ask, HEADS), ranks)
+
+
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """(doc_id, ids, decoded): decode(encode(docs)), the documents of a block asking for their tokens where they are put together."""
+    ranks = _table(ranks_path)
+    heads = _heads(max(ranks.values(), default=0))
+    return _joined(_encoded(docs, ranks_path, pattern).applyInArrow(lambda d, words: heads(_assemble(d, words)), HEADS), ranks)
 
 
 def digests(decoded: DataFrame) -> DataFrame:

@@ -17,8 +17,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as vocabulary
 
     ranks = vocabulary.path("byte_bpe_50k.tiktoken")
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), ranks, vocabulary.PATTERN)
-    return bpe.digests(bpe.decode(encoded, ranks))
+    return bpe.digests(bpe.round_trip(table(spark, sf_dir, "documents"), ranks, vocabulary.PATTERN))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,12 +23,14 @@ def expected(doc_id, text):
 
 def run(spark, docs):
     frame = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as ids", "2 as block", "text as word")
-    return sorted(tuple(r) for r in bpe.digests(bpe.decode(bpe.encode(frame, RANKS, public_tokenizers.PATTERN), RANKS)).collect())
+    one = sorted(tuple(r) for r in bpe.digests(bpe.decode(bpe.encode(frame, RANKS, public_tokenizers.PATTERN), RANKS)).collect())
+    assert one == sorted(tuple(r) for r in bpe.digests(bpe.round_trip(frame, RANKS, public_tokenizers.PATTERN)).collect())
+    return one
 
 
 @pytest.mark.parametrize("block", [3, 10**9])
 def test_as_the_library_encodes(spark, monkeypatch, block):
-    monkeypatch.setattr(bpe, "BLOCK_TOKENS", block)
+    monkeypatch.setattr(bpe, "BLOCK_WORDS", block)
     r = random.Random(5)
     docs = list(enumerate(ODD))
     docs += [(i + 100, "".join(r.choices(["a", " ", "\n", "the", "'s", "é", "7", "!", " ", "日"], k=40))) for i in range(200)]
