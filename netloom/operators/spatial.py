@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.functions import geometry as G
-from netloom.plans.scratch import drop, written
+from netloom.plans.scratch import written
 
 CELL = 32.0
 
@@ -26,11 +26,15 @@ def padded(rows: DataFrame, pad: float | Column = 0.0, x0="x0", y0="y0", x1="x1"
     return rows.withColumns({"bx0": low(x0, x1), "by0": low(y0, y1), "bx1": high(x0, x1), "by1": high(y0, y1)})
 
 
-def meeting(left: DataFrame, right: DataFrame, cell: float = CELL, by: str = "page") -> DataFrame:
-    """Pairs of rows of one page whose boxes (bx0, by0, bx1, by1) meet, rims included; right's columns get a leading underscore."""
+def meeting(left: DataFrame, right: DataFrame, cell: float | str = CELL, by: str = "page") -> DataFrame:
+    """Pairs of rows of one page whose boxes (bx0, by0, bx1, by1) meet, rims included; right's columns get a leading underscore.
+
+    ``cell`` is the side of a cell, or the name of a column of both sides that has it for their page.
+    """
+    side = F.col(cell) if isinstance(cell, str) else F.lit(float(cell))
 
     def cut(rows: DataFrame) -> DataFrame:
-        at = lambda v: F.floor(F.col(v) / cell)
+        at = lambda v: F.floor(F.col(v) / side)
         rows = rows.withColumns({"cell_lx": at("bx0"), "cell_ly": at("by0")})
         rows = rows.withColumn("cell_cx", F.explode(F.sequence(F.col("cell_lx"), at("bx1"))))
         return rows.withColumn("cell_cy", F.explode(F.sequence(F.col("cell_ly"), at("by1"))))
@@ -62,35 +66,29 @@ def nearest(points: DataFrame, targets: DataFrame, key: list[str], d2: Column, m
     """points (page, *key, x, y, ...) with the nearest of their page's targets, as its columns with an underscore, and d2.
 
     ``d2`` is the squared distance in terms of both rows, ``most`` bounds the distance; ``other`` says which pairs count.
-    Of equals the first by ``order`` wins, or the last. Without a bound the search widens until every point has its
-    nearest: each round looks eight times as far for the points that the one before left. Points whose page has no
-    target that counts are left out.
+    Of equals the first by ``order`` wins, or the last. Without a bound a point first looks around as far as three times
+    the spacing that its page's targets would have if they were even, through cells of that size, and the few that find
+    nothing there look at the whole page. Points whose page has no target that counts are left out.
     """
     best = F.min(F.struct("d2", (-F.col(f"_{order}") if last else F.col(f"_{order}")).alias("o"), F.struct(*(f"_{n}" for n in targets.columns if n != "page")).alias("t")))
     ok = F.lit(True) if other is None else other
 
-    def look(some: DataFrame, reach: Column, cell: float) -> DataFrame:
-        pairs = meeting(padded(some, reach, "x", "y", "x", "y"), targets, cell).where(ok).withColumn("d2", d2)
+    def look(some: DataFrame, among: DataFrame, reach: Column, cell: float | str) -> DataFrame:
+        pairs = meeting(padded(some, reach, "x", "y", "x", "y"), among, cell).where(ok).withColumn("d2", d2)
         found = pairs.where(F.col("d2") <= reach * reach).groupBy("page", *key).agg(best.alias("m"))
         return found.select("page", *key, "m.t.*", "m.d2")
 
     if most is not None:
-        return look(points, F.lit(float(most)) if isinstance(most, (int, float)) else most, CELL)
-    box = targets.agg(F.min("bx0"), F.min("by0"), F.max("bx1"), F.max("by1")).crossJoin(points.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y"))).first()  # one row
-    if None in tuple(box):
-        return look(points, F.lit(0.0), CELL)
-    far = 2.0 + abs(max(box[2], box[6]) - min(box[0], box[4])) + abs(max(box[3], box[7]) - min(box[1], box[5]))
-    todo, out, reach = written(points.select("page", *key, "x", "y", *(n for n in points.columns if n not in ("page", "x", "y", *key)))), None, min(CELL / 2, far)
-    while True:
-        found = written(look(todo, F.lit(reach), max(CELL, reach)))
-        out = found if out is None else out.unionByName(found)
-        if reach >= far:
-            return out
-        rest = written(todo.join(found, ["page", *key], "left_anti"))
-        drop(todo)
-        todo, reach = rest, min(reach * 8, far)
-        if not todo.limit(1).count():
-            return out
+        return look(points, targets, F.lit(float(most)) if isinstance(most, (int, float)) else most, CELL)
+    ends = lambda t, x0, y0, x1, y1: t.groupBy("page").agg(F.count("*").alias("n"), F.min(x0).alias("a"), F.min(y0).alias("b"), F.max(x1).alias("c"), F.max(y1).alias("d"))
+    there, here = ends(targets, "bx0", "by0", "bx1", "by1"), ends(points, "x", "y", "x", "y").select("page", *(F.col(v).alias(f"{v}_") for v in "abcd"))
+    w, h = F.greatest("c", "c_") - F.least("a", "a_"), F.greatest("d", "d_") - F.least("b", "b_")
+    sizes = there.join(here, "page").withColumns({"far": 2.0 + w + h, "even": 3.0 * F.greatest(F.sqrt(w * h / F.col("n")), (w + h) / F.col("n"))})
+    sizes = written(sizes.select("page", "far", F.least("far", F.greatest("even", F.lit(1.0))).alias("near")))
+    asked, among = points.join(sizes, "page"), targets.join(sizes, "page")
+    first = written(look(asked, among, F.col("near"), "near"))
+    rest = asked.join(first.select("page", *key), ["page", *key], "left_anti")
+    return first.unionByName(look(rest, among.join(rest.select("page").distinct(), "page", "left_semi"), F.col("far"), "far").select(*first.columns))
 
 
 def nearest_segment(points: DataFrame, segments: DataFrame, key: list[str], most: float | Column | None = None, last: bool = False) -> DataFrame:
