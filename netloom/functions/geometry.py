@@ -67,18 +67,21 @@ def directed() -> dict[str, Column]:
     return {"dx": dx, "dy": dy, "inverse": F.when(size < 1e-12, 0.0).otherwise(F.try_divide(F.lit(1.0), size))}
 
 
+def end_distance2(px, py, s: str = "_") -> Column:
+    """Squared distance of a point to a segment that has the columns of directed()."""
+    x, y = c(px) - c(f"{s}x0"), c(py) - c(f"{s}y0")
+    along = (x * c(f"{s}dx") + y * c(f"{s}dy")) * c(f"{s}inverse")
+    t = F.when(along < 0, 0.0).when(along > 1, 1.0).otherwise(along)
+    qx, qy = x - t * c(f"{s}dx"), y - t * c(f"{s}dy")
+    return qx * qx + qy * qy
+
+
 def touches(limit2: Column, a: str = "", b: str = "_") -> Column:
     """Segments a* and b* with an end of one on the other, at a squared distance of at most ``limit2``; crossing alone is no touch.
 
     Both have the columns of directed(); their boxes are to be compared first.
     """
-
-    def on(p: str, k: int, s: str) -> Column:
-        px, py = c(f"{p}x{k}") - c(f"{s}x0"), c(f"{p}y{k}") - c(f"{s}y0")
-        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (px * c(f"{s}dx") + py * c(f"{s}dy")) * c(f"{s}inverse")))
-        qx, qy = px - t * c(f"{s}dx"), py - t * c(f"{s}dy")
-        return qx * qx + qy * qy <= limit2
-
+    on = lambda p, k, s: end_distance2(f"{p}x{k}", f"{p}y{k}", s) <= limit2
     return on(a, 0, b) | on(a, 1, b) | on(b, 0, a) | on(b, 1, a)
 
 

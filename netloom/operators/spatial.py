@@ -47,12 +47,17 @@ def meeting(left: DataFrame, right: DataFrame, cell: float | str = CELL, by: str
     return pairs.drop("_page", "cell_lx", "cell_ly", "cell_cx", "cell_cy", "_rcell_lx", "_rcell_ly", "_rcell_cx", "_rcell_cy")
 
 
-def touching(segments: DataFrame, tol: float | Column = 1.0, cell: float = CELL) -> DataFrame:
-    """(page, a, b), a < b, of segments that touch within ``tol``, a number or one for each segment's page."""
+def touching(segments: DataFrame, tol: float | Column = 1.0, cell: float = CELL / 2) -> DataFrame:
+    """(page, a, b), a < b, of segments that touch within ``tol``, a number or one for each segment's page.
+
+    Ends meet the segments beside them: one distance a pair keeps the generated code small enough to be compiled.
+    """
     tol = F.lit(float(tol)) if isinstance(tol, (int, float)) else tol
-    sized = segments.select("page", "seg", "x0", "y0", "x1", "y1", (tol + 1e-3).alias("tol")).withColumns(G.directed())
-    pairs = meeting(padded(sized, F.col("tol")), padded(sized.drop("tol")), cell).where("seg < _seg")
-    return pairs.where(G.touches(F.col("tol") * F.col("tol"))).select("page", F.col("seg").alias("a"), F.col("_seg").alias("b"))
+    sized = segments.select("page", "seg", "x0", "y0", "x1", "y1", (tol + 1e-3).alias("tol"))
+    ends = padded(ends_of(sized), F.col("tol"), "x", "y", "x", "y")
+    pairs = meeting(ends, padded(sized.drop("tol").withColumns(G.directed())), cell).where("seg <> _seg")
+    on = G.end_distance2("x", "y", "_") <= F.col("tol") * F.col("tol")
+    return pairs.where(on).select("page", F.least("seg", "_seg").alias("a"), F.greatest("seg", "_seg").alias("b")).distinct()
 
 
 def linked(ends: DataFrame, reach: str) -> DataFrame:

@@ -23,6 +23,11 @@ def _flat(spark, sf_dir):
     return page.boxed_shapes(R.shapes(spark, sf_dir))
 
 
+def _drawn(spark, sf_dir):
+    """All segments, written once: a join of the rendering with itself would render each row anew for each of its cells."""
+    return written(R.segments(spark, sf_dir))
+
+
 def _split(spark, sf_dir):
     return written(spatial.separate(R.segments(spark, sf_dir)))
 
@@ -92,7 +97,7 @@ view("wcol", "sep", f"""SELECT w.page, w.color FROM ({_MODE.format("(SELECT * FR
 @query(with_views("sep wcol", f"SELECT s.page, s.seg, s.is_wire OR ({ALIGNED} AND coalesce(s.color = w.color, false)) AS is_wire FROM sep s LEFT JOIN wcol w USING (page)"))
 def separate_by_color(spark, sf_dir):
     """Wires by direction and length, and shorter ones in the colour that wires have."""
-    return spatial.separate(R.segments(spark, sf_dir), use_color=True).select("page", "seg", "is_wire")
+    return spatial.separate(_drawn(spark, sf_dir), use_color=True).select("page", "seg", "is_wire")
 
 
 @query(with_views("seg pg", scale("seg").replace("scale FROM", "scale FROM", 1)))
@@ -153,7 +158,7 @@ def collinear_neighbors(spark, sf_dir):
 @query(with_views("seg", f"SELECT a.page, a.seg AS a, b.seg AS b FROM seg a JOIN seg b ON a.page = b.page AND a.seg < b.seg WHERE {touch('1.001')}"))
 def segments_touch(spark, sf_dir):
     """Pairs of segments of a page that touch."""
-    return spatial.touching(_plain(R.segments(spark, sf_dir)))
+    return spatial.touching(_plain(_drawn(spark, sf_dir)))
 
 
 _SIDE = "(({1}x1 - {1}x0) * ({0}y{2} - {1}y0) - ({1}y1 - {1}y0) * ({0}x{2} - {1}x0))"
@@ -163,7 +168,7 @@ _SIDE = "(({1}x1 - {1}x0) * ({0}y{2} - {1}y0) - ({1}y1 - {1}y0) * ({0}x{2} - {1}
   AND {_SIDE.format('b.', 'a.', 0)} * {_SIDE.format('b.', 'a.', 1)} <= 0 AND {_SIDE.format('a.', 'b.', 0)} * {_SIDE.format('a.', 'b.', 1)} <= 0"""))
 def segments_intersect(spark, sf_dir):
     """Pairs of segments that cross or touch."""
-    s = spatial.padded(_plain(R.segments(spark, sf_dir)))
+    s = spatial.padded(_plain(_drawn(spark, sf_dir)))
     return spatial.meeting(s, s).where((F.col("seg") < F.col("_seg")) & G.intersects()).select("page", F.col("seg").alias("a"), F.col("_seg").alias("b"))
 
 
@@ -174,14 +179,14 @@ grown("touch_grow", "seg touch_link", "seg", "seg", "touch_link")
 @query(with_views("touch_grow", "SELECT page, id AS seg, min(root) AS net FROM touch_grow GROUP BY page, id"))
 def build_nets(spark, sf_dir):
     """The net of each segment: the first segment that touching ones lead to."""
-    s = _plain(R.segments(spark, sf_dir))
+    s = _plain(_drawn(spark, sf_dir))
     return grouped(s.select("page", "seg"), spatial.touching(s), "seg", "net")
 
 
 @query(with_views("seg txt", f"SELECT page, text_id, seg, round(d2, 6) AS d2 FROM (SELECT page, text_id, seg, {d2('x', 'y')} AS d2, row_number() OVER (PARTITION BY page, text_id ORDER BY {d2('x', 'y')}, seg) AS r FROM seg JOIN txt USING (page)) WHERE r = 1"))
 def nearest_wire(spark, sf_dir):
     """The nearest segment of each text, however far; the first of equals."""
-    return spatial.nearest_segment(_centres(spark, sf_dir), R.segments(spark, sf_dir), ["text_id"]).select("page", "text_id", "seg", _r("d2"))
+    return spatial.nearest_segment(_centres(spark, sf_dir), _drawn(spark, sf_dir), ["text_id"]).select("page", "text_id", "seg", _r("d2"))
 
 
 def _centres(spark, sf_dir):
@@ -192,7 +197,7 @@ def _centres(spark, sf_dir):
 @query(with_views("seg txt", f"SELECT page, text_id, seg, round(d2, 6) AS d2 FROM (SELECT page, text_id, seg, {d2('x', 'y')} AS d2, row_number() OVER (PARTITION BY page, text_id ORDER BY {d2('x', 'y')}, seg DESC) AS r FROM seg JOIN txt USING (page) WHERE {d2('x', 'y')} <= 25) WHERE r = 1"))
 def nearest_net(spark, sf_dir):
     """The nearest segment within 5 units; the last of equals."""
-    return spatial.nearest_segment(_centres(spark, sf_dir), R.segments(spark, sf_dir), ["text_id"], 5.0, last=True).select("page", "text_id", "seg", _r("d2"))
+    return spatial.nearest_segment(_centres(spark, sf_dir), _drawn(spark, sf_dir), ["text_id"], 5.0, last=True).select("page", "text_id", "seg", _r("d2"))
 
 
 _BOX = "least(x0, x1) - 2 AS bx0, least(y0, y1) - 2 AS by0, greatest(x0, x1) + 2 AS bx1, greatest(y0, y1) + 2 AS by1"
@@ -201,14 +206,14 @@ _BOX = "least(x0, x1) - 2 AS bx0, least(y0, y1) - 2 AS by0, greatest(x0, x1) + 2
 @query(with_views("seg", f"SELECT a.page, a.seg AS a, b.seg AS b FROM (SELECT page, seg, {_BOX} FROM seg) a JOIN (SELECT page, seg, {_BOX} FROM seg) b ON a.page = b.page AND a.seg < b.seg WHERE a.bx0 <= b.bx1 AND b.bx0 <= a.bx1 AND a.by0 <= b.by1 AND b.by0 <= a.by1"))
 def box_overlap(spark, sf_dir):
     """Segments whose padded boxes meet."""
-    b = spatial.padded(_plain(R.segments(spark, sf_dir)), 2.0)
+    b = spatial.padded(_plain(_drawn(spark, sf_dir)), 2.0)
     return spatial.meeting(b, b).where("seg < _seg").select("page", F.col("seg").alias("a"), F.col("_seg").alias("b"))
 
 
 @query(with_views("seg txt", f"SELECT page, text_id, seg FROM (SELECT page, text_id, seg, row_number() OVER (PARTITION BY page, text_id ORDER BY (bx1 - bx0) * (by1 - by0), seg) AS r FROM (SELECT page, seg, {_BOX} FROM seg) JOIN txt USING (page) WHERE x BETWEEN bx0 AND bx1 AND y BETWEEN by0 AND by1) WHERE r = 1"))
 def smallest_box(spark, sf_dir):
     """The smallest box around each text's centre."""
-    boxes = spatial.padded(R.segments(spark, sf_dir), 2.0).select("page", F.col("seg").alias("box"), "bx0", "by0", "bx1", "by1")
+    boxes = spatial.padded(_drawn(spark, sf_dir), 2.0).select("page", F.col("seg").alias("box"), "bx0", "by0", "bx1", "by1")
     return spatial.smallest_box(_centres(spark, sf_dir), boxes, ["text_id"], [("x", "y")]).select("page", "text_id", F.col("box").alias("seg"))
 
 
@@ -289,7 +294,7 @@ view("assoc", "asc_sym asc_wire", "SELECT * FROM asc_sym UNION ALL SELECT * FROM
 
 
 def _named(spark, sf_dir):
-    return association.associate(R.texts(spark, sf_dir), _flat(spark, sf_dir), R.segments(spark, sf_dir))
+    return association.associate(R.texts(spark, sf_dir), _flat(spark, sf_dir), _drawn(spark, sf_dir))
 
 
 @query(with_views("assoc", "SELECT page, text_id, text, kind, ax, ay, round(distance, 6) AS distance, round(greatest(0.0, 1 - distance / 50), 6) AS confidence FROM assoc"))
@@ -369,7 +374,7 @@ view("pin_net", "pin_at lnet tol2 scl", f"""SELECT page, cluster, pin, x, y, net
 
 
 def built(spark, sf_dir) -> page.Graph:
-    return page.build(R.segments(spark, sf_dir), R.shapes(spark, sf_dir), R.texts(spark, sf_dir), R.pages(spark))
+    return page.build(_drawn(spark, sf_dir), R.shapes(spark, sf_dir), R.texts(spark, sf_dir), R.pages(spark))
 
 
 @query(with_views("net_row", "SELECT * FROM net_row"))
@@ -394,7 +399,7 @@ def build_page(spark, sf_dir):
 @query()
 def recovered_parts(spark, sf_dir):
     """Edges of the graph with parts made up for designators that lost their cluster to another."""
-    g = page.build(R.segments(spark, sf_dir), R.shapes(spark, sf_dir), R.texts(spark, sf_dir), R.pages(spark), recover=True)
+    g = page.build(_drawn(spark, sf_dir), R.shapes(spark, sf_dir), R.texts(spark, sf_dir), R.pages(spark), recover=True)
     return g.edges.join(g.components.where("cluster < 0"), ["page", "cluster"]).select("page", "ref", "class_name", "net", "pin")
 
 
@@ -439,13 +444,13 @@ def _boxes(spark, sf_dir):
 @query(with_views("det_seg", "SELECT * FROM det_seg"))
 def detected_segments(spark, sf_dir):
     """The smallest detection around each segment."""
-    return detect.segments_in(R.segments(spark, sf_dir), _boxes(spark, sf_dir), 3.0)
+    return detect.segments_in(_drawn(spark, sf_dir), _boxes(spark, sf_dir), 3.0)
 
 
 @query()
 def detected_parts(spark, sf_dir):
     """Detections that hold a segment, with the designators that they get in turn."""
-    parts, _ = detect.components(_boxes(spark, sf_dir), R.segments(spark, sf_dir), _named(spark, sf_dir), 3.0)
+    parts, _ = detect.components(_boxes(spark, sf_dir), _drawn(spark, sf_dir), _named(spark, sf_dir), 3.0)
     return parts.select("page", "cluster", "ref", "class_name", "confidence")
 
 
@@ -453,7 +458,7 @@ def detected_parts(spark, sf_dir):
 def detector_coverage(spark, sf_dir):
     """Pages whose detections cover half of the designators."""
     named = written(_named(spark, sf_dir))
-    parts, _ = detect.components(_boxes(spark, sf_dir), R.segments(spark, sf_dir), named, 3.0)
+    parts, _ = detect.components(_boxes(spark, sf_dir), _drawn(spark, sf_dir), named, 3.0)
     return detect.coverage(parts, named, R.pages(spark))
 
 
