@@ -46,3 +46,39 @@ def test_empty_tables(spark):
     some = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, "c")], "doc_id long, text string")
     assert resampling.resample(none, none.select("doc_id")).count() == 0
     assert len(resampling.resample(some, none.select("doc_id")).collect()) == 3
+
+
+def plain_slots(text):
+    """Slots by whole numbers: words by their hash, pairs by both."""
+    import xxhash
+
+    mask, words = (1 << 64) - 1, [xxhash.xxh3_64_intdigest(w) for w in (text or "").encode().lower().split()]
+    pairs = []
+    for a, b in zip(words, words[1:], strict=False):
+        p = (a * 0x9E3779B97F4A7C15 & mask) ^ b
+        p ^= p >> 32
+        pairs.append(p * 0xD6E8FEB86659FD93 & mask)
+    return [(h >> 20) % resampling.SLOTS for h in words + pairs]
+
+
+def test_keys_and_the_draw_by_their_definition(spark):
+    import math
+    from collections import Counter
+
+    docs, aim = made(), set(range(30))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    target = spark.createDataFrame([(i,) for i in aim], "doc_id long")
+    raw, good = Counter(), Counter()
+    for i, t in docs:
+        raw.update(plain_slots(t))
+        good.update(plain_slots(t) if i in aim else ())
+    n_raw, n_good = sum(raw.values()) + resampling.SLOTS, sum(good.values()) + resampling.SLOTS
+    noise = {r["doc_id"]: r["h"] % (1 << 64) for r in frame.selectExpr("doc_id", "xxhash64(doc_id, 17) as h").collect()}
+    want = {}
+    for i, t in docs:
+        weight = sum(math.log((good[s] + 1) / n_good) - math.log((raw[s] + 1) / n_raw) for s in plain_slots(t))
+        want[i] = weight - math.log(-math.log(((noise[i] >> 11) + 0.5) / (1 << 53)))
+    out = {r["doc_id"]: r for r in resampling.resample(frame, target, fraction=0.3).collect()}
+    assert all(abs(out[i]["sample_key"] - k) < 1e-5 * (1 + abs(k)) for i, k in want.items())
+    drawn = sorted(want, key=lambda i: -want[i])[: int(len(docs) * 0.3)]
+    assert {i for i, r in out.items() if r["kept"]} == set(drawn)
