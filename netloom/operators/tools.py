@@ -2,7 +2,7 @@
 
 A Graph has components (node, ref, class_name, value, and bx0..by1 if known), nets (net, name) and edges (node, net,
 pin_id), one edge a component and net. Components are named by ref and nets by name, exactly or else whatever the case;
-of several with one name the first by node or net is meant.
+of several with one name the first by node or net is meant, shorter ones first, so that p7 comes before p14007.
 """
 
 from __future__ import annotations
@@ -51,7 +51,7 @@ class Graph:
     def _find(self, table: DataFrame, key: str, name: str, wanted: str) -> DataFrame:
         """The row that a name means; no row if there is none."""
         exact = (F.col(name) != wanted).cast("int")
-        return table.where(F.upper(name) == wanted.upper()).orderBy(exact, key).limit(1)
+        return table.where(F.upper(name) == wanted.upper()).orderBy(exact, F.length(F.col(key).cast("string")), key).limit(1)
 
     def component(self, ref: str) -> DataFrame:
         return self._find(self.described(), "node", "ref", ref)

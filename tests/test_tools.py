@@ -75,3 +75,16 @@ def test_rubric_and_ranking(spark):
     assert sorted(r["score"] for r in tools.rubric(runs).collect()) == [1, 4, 5]
     scores = spark.createDataFrame([("a", 5, 2.0), ("a", 2, 2.0), ("b", 3, 1.0), ("b", 4, 1.0)], "model string, score int, seconds double")
     assert [r["model"] for r in tools.ranking(scores).collect()] == ["b", "a"]
+
+
+def _shared(spark):
+    """Three components that are all R7."""
+    parts = [(n, "R7", "Resistor", v) for n, v in (("p14007", "a"), ("p7", "b"), ("p7007", "c"))] + [("p8", "C8", "Capacitor", "d")]
+    edges = [("p14007", "N1", "1"), ("p7", "N2", "1"), ("p7", "N3", "2"), ("p8", "N3", "1"), ("p7007", "N4", "1")]
+    nets = spark.createDataFrame([(f"N{k}", None) for k in range(1, 5)], "net string, name string")
+    return tools.Graph(spark.createDataFrame(parts, "node string, ref string, class_name string, value string"), nets, spark.createDataFrame(edges, "node string, net string, pin_id string"))
+
+
+def test_info_is_that_of_the_first_by_number(spark):
+    info = ask(_shared(spark), "get_component_info", component_ref="R7")
+    assert (info["value"], info["num_pins"], info["connected_nets"]) == ("b", 2, ["N2", "N3"])
