@@ -88,3 +88,8 @@ def _shared(spark):
 def test_info_is_that_of_the_first_by_number(spark):
     info = ask(_shared(spark), "get_component_info", component_ref="R7")
     assert (info["value"], info["num_pins"], info["connected_nets"]) == ("b", 2, ["N2", "N3"])
+
+
+def test_neighbors_are_those_of_the_first_by_number(spark):
+    found = ask(_shared(spark), "get_neighbors", component_ref="r7")
+    assert found["connected_nets"] == ["N2", "N3"] and found["connected_components"] == ["C8"]
