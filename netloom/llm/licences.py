@@ -1,14 +1,18 @@
 """Licence paragraphs by a trained classifier, in DataFrame functions and the JVM's own learner.
 
 A paragraph is what stands between blank lines. Windows of its words around KEYS, the terms of which every template has
-one, are what is classified: each distinct window becomes its words and word pairs, as far as the templates have them,
-and a sparse multinomial logistic regression over these gives a family or the unknown class. The bar for a family is
-calibrated on all windows of the corpus that are like no template. A family stands when its template confirms it: the
-window has enough of the template's words and pairs, those that few templates have counting most, and one of its KEYS.
+one, are what is classified, and so are all others that a template could confirm, which have one of anchors(): each
+distinct window becomes its words and word pairs, as far as the templates have them, and a sparse multinomial logistic
+regression over these gives a family or the unknown class. The bar for a family is calibrated on all windows around KEYS
+that are like no template. A family stands when its template confirms it: the window has enough of the template's words
+and pairs, those that few templates have counting most.
 """
 
 from __future__ import annotations
 
+import re
+from functools import cache
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -83,6 +87,11 @@ PROSE = (
     "Confidential letters were found in the general's desk.", "The Apache people lived in the south west.",
 )
 KEYS = ("licen", "copyright", "reserved", "redistribut", "permi", "proprietary", "domain", "mozilla", "spdx", "prohibited", "warrant")
+#: Words of everyday prose, by which a template is looked for last.
+COMMON = frozenset(
+    "a above all along an and any are as at be but by can do either else for found free from general has have if in into is it its later made may met mit more must name names neither no nor not "
+    "of on one or other out part see such than that the their this to under use version was were with without work you your 0 1 2 3 4".split()
+)
 #: Words of a window and words between windows: a stretch of up to three quarters of a width lies within one of its windows.
 WINDOWS = ((16, 4), (48, 12), (112, 28))
 #: Windows of the corpus, at most, that train the unknown class.
@@ -110,22 +119,46 @@ def _key(text: Column) -> Column:
     return found
 
 
+@cache
+def anchors() -> tuple[str, ...]:
+    """Words one of which is in whatever a template confirms: without them, and the pairs that they are in, less than CONFIRM of each template is left."""
+    grams = []
+    for line in (line for lines in TEMPLATES.values() for line in lines):
+        words = re.sub(r"[^a-z0-9]+", " ", line.lower()).split()
+        grams.append(dict.fromkeys([*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))]))
+    have: dict[str, int] = {}
+    for own in grams:
+        for g in own:
+            have[g] = have.get(g, 0) + 1
+    found: set[str] = set()
+    for own in grams:
+        total = sum(1 / have[g] for g in own)
+        for word in sorted((g for g in own if " " not in g), key=lambda w: (w not in found, w in COMMON, have[w], w)):
+            left = sum(1 / have[g] for g in own if found.isdisjoint(g.split()))
+            if left < (CONFIRM - 1e-6) * total:
+                break
+            found.add(word)
+    return tuple(sorted(found))
+
+
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, place, words) of every paragraph that has one of KEYS; words of wrapped lines follow each other."""
-    some = docs.where(_key(F.lower("text")))
-    parts = some.select(F.col("doc_id").cast("long"), F.posexplode(F.split("text", r"\n[ \t\r]*\n")).alias("place", "paragraph")).where(_key(F.lower("paragraph")))
+    """(doc_id, place, words) of every paragraph that has one of KEYS or of anchors(); words of wrapped lines follow each other."""
+    some = F.array(*map(F.lit, anchors()))
+    has = lambda text: _key(F.lower(text)) | F.arrays_overlap(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), some)
+    parts = docs.select(F.col("doc_id").cast("long"), F.posexplode(F.split("text", r"\n[ \t\r]*\n")).alias("place", "paragraph")).where(has(F.col("paragraph")))
     return parts.select("doc_id", "place", words_of(F.col("paragraph")).alias("words"))
 
 
-def windows(found: DataFrame) -> DataFrame:
-    """(doc_id, place, window) of the windows around each of KEYS: all words of a paragraph no longer than a width, else stretches from a grid."""
+def windows(found: DataFrame, around: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, place, window) of the windows around each of KEYS and each word of ``around``: all words of a paragraph no longer than a width, else stretches from a grid."""
     n = F.size("words")
-    at = F.filter(F.transform("words", lambda w, i: F.when(_key(w), i)), lambda i: i.isNotNull())
+    mark = lambda w: _key(w) | w.isin(*around) if around else _key(w)
+    at = F.filter(F.transform("words", lambda w, i: F.when(mark(w), i)), lambda i: i.isNotNull())
     starts = []
     for width, step in WINDOWS:
         grid = lambda k, width=width, step=step: F.transform("at", lambda i: F.struct(F.greatest(F.floor(i / step) * step - k * step, F.lit(0)).cast("int").alias("start"), F.lit(width).alias("width")))
         whole = F.array(F.struct(F.lit(0).alias("start"), F.lit(width).alias("width")))
-        starts.append(F.when(n <= width, whole).otherwise(F.concat(*(grid(k) for k in range(width // step)))))
+        starts.append(F.when(n <= width, F.when(F.size("at") > 0, whole).otherwise(F.slice(whole, 1, 0))).otherwise(F.concat(*(grid(k) for k in range(width // step)))))
     cuts = found.withColumn("at", at).select("doc_id", "place", "words", F.explode(F.array_distinct(F.concat(*starts))).alias("w"))
     return cuts.select("doc_id", "place", F.slice("words", F.col("w.start") + 1, F.col("w.width")).alias("window"))
 
@@ -193,18 +226,21 @@ def scored(some: DataFrame, weights: DataFrame, families: list[str], intercepts:
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_candidates, n_licences, families (sorted, joined by commas) and best (the highest probability) of every document.
 
-    Candidates are paragraphs with one of KEYS; licences are those in which a family is predicted and confirmed, and a
+    Candidates are paragraphs with one of KEYS or with a window that a template confirms; licences are those in which a family is predicted and confirmed, and a
     paragraph may have several. Documents without candidates have none, and null as best. Null and empty texts have no
     paragraphs, a very long one as many windows as terms. Rows that repeat an id are one document, and so are those
     without one. Of equally likely families the first by TEMPLATES is meant. An empty table gives an empty one.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    cut = windows(paragraphs(docs)).withColumn("key", F.sha2(F.array_join("window", " "), 256))
+    cut = windows(paragraphs(docs), anchors()).withColumn("key", F.sha2(F.array_join("window", " "), 256))
     cut = written(cut.groupBy("doc_id", "place", "key").agg(F.first("window").alias("window"), F.count("*").alias("n")))
-    some = written(cut.groupBy("key").agg(F.first("window").alias("window")).select("key", ngrams_of(F.col("window")).alias("grams")))
+    every = written(cut.groupBy("key").agg(F.first("window").alias("window")).select("key", F.exists("window", _key).alias("keyed"), ngrams_of(F.col("window")).alias("grams")))
     templates = index(spark)
-    like = written(likeness(some, templates))
+    like = written(likeness(every, templates))
+    # a window without any of KEYS counts where a template confirms it, and can name nothing elsewhere
+    sound = like.where(F.col("like") >= CONFIRM).select("key").distinct()
+    some = written(every.where("keyed").unionByName(every.where("not keyed").join(sound, "key", "left_semi")))
     unlike = some.join(like.where(F.col("like") > UNLIKE).select("key").distinct(), "key", "left_anti")
     n = unlike.count()
     share = min(1.0, NEGATIVES / 2 / max(n, 1))
@@ -221,8 +257,8 @@ def scan(docs: DataFrame) -> DataFrame:
         F.count("*").alias("n_candidates"), F.count_if(F.size("names") > 0).alias("n_licences"),
         F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("names")))), ",").alias("families"), F.round(F.max("p"), 6).alias("best"),
     )
-    every = docs.select("doc_id").distinct()
-    out = every.join(by_doc, every["doc_id"].eqNullSafe(by_doc["doc_id"]), "left").drop(by_doc["doc_id"])
+    ids = docs.select("doc_id").distinct()
+    out = ids.join(by_doc, ids["doc_id"].eqNullSafe(by_doc["doc_id"]), "left").drop(by_doc["doc_id"])
     return out.select(
         "doc_id", F.coalesce("n_candidates", F.lit(0)).cast("long").alias("n_candidates"), F.coalesce("n_licences", F.lit(0)).cast("long").alias("n_licences"),
         F.coalesce("families", F.lit("")).alias("families"), "best",

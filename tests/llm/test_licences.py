@@ -109,3 +109,22 @@ def test_windows_hold_every_stretch_around_a_key(spark):
 
 def test_every_template_has_a_key(spark):
     assert L._templates(spark).where(~F.exists("words", L._key)).count() == 0
+
+
+def test_anchors_leave_too_little_of_a_template_to_confirm_it(spark):
+    words, templates = set(L.anchors()), [plain_grams(t)[1] for ts in L.TEMPLATES.values() for t in ts]
+    have = {g: sum(g in own for own in templates) for own in templates for g in own}
+    for own in templates:
+        left = [g for g in own if words.isdisjoint(g.split(" "))]
+        assert sum(1 / have[g] for g in left) < L.CONFIRM * sum(1 / have[g] for g in own)
+
+
+def test_licences_without_a_key_term(spark):
+    texts = [
+        "This is free and unencumbered software released into the open. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software",
+        f"All rights kept. {PROSE}. {PROSE}. {PROSE}. Distributed under the Boost Software Licence, Version 1.0. {PROSE}.".replace("Licence", "Lizence"),
+        "These tools were distributed by a software version of the same firm.",
+    ]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(100 + i, f"words number {i} by permission") for i in range(20)], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in L.scan(docs).collect()}
+    assert [found[i]["families"] for i in range(3)] == ["unlicense", "boost", ""] and [found[i]["n_candidates"] for i in range(3)] == [1, 1, 0]
