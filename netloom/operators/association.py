@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from netloom.functions import geometry as G
 from netloom.functions import text as T
 from netloom.operators import spatial
+from netloom.plans.scratch import written
 
 #: How far a text may stand from what it names, and what each wrong direction weighs.
 REACH, PENALTY = 50.0, 1.5
@@ -35,10 +36,11 @@ def to_symbols(texts: DataFrame, symbols: DataFrame) -> DataFrame:
     """Designators and values with the symbol of least weighted distance within REACH, the first of equals.
 
     A designator is looked for to the left of and above its symbol, a value to the right and below: each coordinate on
-    the other side weighs its distance by PENALTY.
+    the other side weighs its distance by PENALTY. Symbols, which are fewer, stand in all cells that they reach, a text in one.
     """
-    points = spatial.padded(texts.where("kind in ('ref', 'value')"), REACH, "x", "y", "x", "y")
-    centres = spatial.padded(symbols.select("page", "sym", "sx", "sy"), 0.0, "sx", "sy", "sx", "sy")
+    points = spatial.padded(texts.where("kind in ('ref', 'value')"), 0.0, "x", "y", "x", "y")
+    places = symbols.groupBy("page", "sx", "sy").agg(F.min("sym").alias("sym"))  # of symbols at one place the first wins
+    centres = spatial.padded(places, REACH * (1 + 1e-6), "sx", "sy", "sx", "sy")
     dx, dy = F.col("x") - F.col("_sx"), F.col("y") - F.col("_sy")
     wrong = lambda d: F.when(F.when(F.col("kind") == "ref", d > 0).otherwise(d < 0), PENALTY).otherwise(1.0)
     pairs = spatial.meeting(points, centres).withColumn("distance", F.sqrt(dx * dx + dy * dy)).where(F.col("distance") <= REACH)
@@ -58,5 +60,5 @@ def to_wires(texts: DataFrame, segments: DataFrame) -> DataFrame:
 
 def associate(texts: DataFrame, shapes: DataFrame, segments: DataFrame) -> DataFrame:
     """(page, text_id, text, kind, ax, ay, distance, confidence) of every text that names something near enough; (ax, ay) is what it names."""
-    named = kinds(texts)
+    named = written(kinds(texts))  # patterns are tried once
     return to_symbols(named, candidates(shapes, segments)).unionByName(to_wires(named, segments))
