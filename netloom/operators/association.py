@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from netloom.functions import geometry as G
 from netloom.functions import text as T
-from netloom.operators import spatial
+from netloom.operators import spatial, tiles
 from netloom.plans.scratch import written
 
 #: How far a text may stand from what it names, and what each wrong direction weighs.
@@ -52,9 +52,11 @@ def to_symbols(texts: DataFrame, symbols: DataFrame) -> DataFrame:
 def to_wires(texts: DataFrame, segments: DataFrame) -> DataFrame:
     """Net labels with the middle of the nearest segment of kind line, less than REACH away, the first of equals."""
     lines = segments.where("kind = 'line'")
-    found = spatial.nearest_segment(texts.where("kind = 'net_label'").select("page", "text_id", "x", "y"), lines, ["text_id"], REACH).where(F.col("d2") < REACH * REACH)
     x, y = G.midpoint()
-    named = found.join(texts.select("page", "text_id", "text", "kind"), ["page", "text_id"]).join(lines.select("page", "seg", x.alias("ax"), y.alias("ay")), ["page", "seg"])
+    # the middle comes along with what is found: a join with all segments would shuffle them once more
+    lines = lines.select("page", "seg", "x0", "y0", "x1", "y1", x.alias("ax"), y.alias("ay"))
+    found = spatial.nearest(texts.where("kind = 'net_label'"), lines, ["text_id"], tiles.CORNERS, ["ax", "ay"], REACH).where(F.col("d2") < REACH * REACH)
+    named = found.select("page", "text_id", F.col("_ax").alias("ax"), F.col("_ay").alias("ay"), "d2").join(texts.select("page", "text_id", "text", "kind"), ["page", "text_id"])
     return named.select("page", "text_id", "text", "kind", "ax", "ay", F.sqrt("d2").alias("distance"), F.greatest(F.lit(0.0), 1 - F.sqrt("d2") / REACH).alias("confidence"))
 
 
