@@ -27,10 +27,13 @@ def points(found: Clusters, shapes: DataFrame) -> DataFrame:
 def hull_area(of: DataFrame, by: list[str]) -> DataFrame:
     """(*by, n, hull): the area of the convex hull of a group's points, by a monotone chain over its distinct points in order.
 
-    The chains are folds over a sorted array, so a group's distinct points stand in one row.
+    Of points with one x only the lowest and the highest can be on the hull. The chains are folds over a sorted array, so
+    these points of a group stand in one row.
     """
     point = F.struct("x", "y")
-    sets = of.groupBy(*by).agg(F.count("*").alias("n"), F.array_sort(F.collect_set(point)).alias("p"))
+    rims = of.groupBy(*by, "x").agg(F.count("*").alias("m"), F.array(F.min("y"), F.max("y")).alias("ys"))
+    rims = rims.select(*by, "x", F.posexplode("ys").alias("k", "y"), F.col("m"))
+    sets = rims.groupBy(*by).agg(F.sum(F.when(F.col("k") == 0, F.col("m"))).alias("n"), F.array_sort(F.collect_set(point)).alias("p"))
     kind = "array<struct<x:double,y:double>>"
 
     def left(a, b, c):  # whether c lies to the left of the way from a to b
