@@ -14,12 +14,13 @@ stretch and of the next one beside it.
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter, defaultdict
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netloom.llm.common import bounded_sample, ship, tune
@@ -467,7 +468,27 @@ def inserted(stretch: bytes, rng) -> bytes:
 
 
 def train(texts: list[str], toxic: list[int], rounds: int = ROUNDS) -> Machine | None:
-    """A machine from labelled texts; None if either label is missing or no toxic text has a letter."""
+    """A machine from labelled texts; None if either label is missing or no toxic text has a letter.
+
+    Where a session is active a task of its trains, so that what training takes is not added to the driver's memory.
+    """
+    spark = SparkSession.getActiveSession()
+    if spark is None or len(set(toxic)) < 2:
+        return trained(texts, toxic, rounds)
+    held = pa.py_buffer(pickle.dumps((texts, toxic, rounds)))
+    size, block = held.size, pa.compress(held, "zstd", asbytes=True)
+    del held
+    found = spark.sparkContext.parallelize([block], 1).map(lambda b: _fields(trained(*pickle.loads(pa.decompress(b, size, "zstd"))))).collect()[0]
+    return Machine(*found) if found else None
+
+
+def _fields(machine: Machine | None) -> tuple | None:
+    """What a machine holds: a worker's class is not the driver's."""
+    return machine and (machine.weights, machine.bias, machine.slopes)
+
+
+def trained(texts: list[str], toxic: list[int], rounds: int = ROUNDS) -> Machine | None:
+    """train() where it is called."""
     flags = np.array(toxic, bool)
     if not flags.any() or flags.all():
         return None

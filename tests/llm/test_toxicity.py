@@ -153,3 +153,13 @@ def test_null_ids_and_clashing_columns(spark, machine):
     out = T.score(frame, machine).withColumn("held_out", T.held_out()).collect()
     assert len(out) == 4 and all(r["held_out"] is not None and 0 <= r["score"] <= 1 for r in out)
     assert len({r["score"] for r in out if r["doc_id"] == 1}) == 1
+
+
+def test_the_driver_does_not_train(spark, monkeypatch):
+    """Its memory has no room for it: in the driver's process train() leaves no more than the machine."""
+    texts, toxic = [t for _, t, _ in rows(60, 3)], [y for *_, y in rows(60, 3)]
+    here, pids = T.trained(texts, toxic), []
+    real = T.words_of
+    monkeypatch.setattr(T, "words_of", lambda texts: pids.append(1) or real(texts))
+    there = T.train(texts, toxic)
+    assert not pids and np.allclose(there.weights, here.weights, atol=1e-4) and abs(there.bias - here.bias) < 1e-3
