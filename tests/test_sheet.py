@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from netloom.operators import page, sheet
+from netloom.operators import page, reports, sheet
 
 NAMES = ["R1", "R2", "R3", "U7", "C12", "D4", "10k", "4.7uF", "NET_1", "NET_2", "SIG", "SIG", "42", "a b", " U3A ", None]
 
@@ -64,10 +64,24 @@ def test_boxes_that_meet():
     assert got == want and want
 
 
+N = 260_000
+
+
+def many(spark):
+    """The graph of a page of many rows."""
+    segments = spark.range(N).selectExpr("0L as page", "id as seg", "double(id % 500 * 10) as x0", "double(id div 500 % 40 * 10) as y0", "double(id % 500 * 10 + if(id % 3 = 0, 1, 9)) as x1", "double(id div 500 % 40 * 10) as y1", "'line' as kind", "cast(null as array<int>) as color")
+    shapes, texts = (t.where("false") for t in drawing(spark, 1)[1:3])
+    return page.build(segments, shapes, texts, spark.range(1).selectExpr("id as page"))
+
+
 def test_a_page_of_many_rows_is_read_in_one_task(spark, monkeypatch):
     monkeypatch.setattr(page, "staged", None)
-    n = 260_000
-    segments = spark.range(n).selectExpr("0L as page", "id as seg", "double(id % 500 * 10) as x0", "double(id div 500 % 40 * 10) as y0", "double(id % 500 * 10 + if(id % 3 = 0, 1, 9)) as x1", "double(id div 500 % 40 * 10) as y1", "'line' as kind", "cast(null as array<int>) as color")
-    shapes, texts = (t.where("false") for t in drawing(spark, 1)[1:3])
-    nets = page.build(segments, shapes, texts, spark.range(1).selectExpr("id as page")).nets.collect()
-    assert sum(r.n_segments for r in nets) >= n * 2 // 3 and nets  # a third is too short for a wire
+    g = many(spark)
+    assert g.pins.where("net is null").count() <= g.pins.count() and g.wires.count() >= N * 2 // 3  # a third is too short for a wire
+
+
+def test_counters_of_a_page_of_many_rows(spark, monkeypatch):
+    monkeypatch.setattr(page, "staged", None)
+    g = many(spark)
+    (row,) = reports.counters(g.components, g.pins, g.nets, g.edges, spark.range(1).selectExpr("id as page")).collect()
+    assert row.nets == g.nets.count() > 0 and row.components == g.components.count()
