@@ -85,3 +85,10 @@ def test_counters_of_a_page_of_many_rows(spark, monkeypatch):
     g = many(spark)
     (row,) = reports.counters(g.components, g.pins, g.nets, g.edges, spark.range(1).selectExpr("id as page")).collect()
     assert row.nets == g.nets.count() > 0 and row.components == g.components.count()
+
+
+def test_nets_of_a_page_of_many_rows(spark, monkeypatch):
+    monkeypatch.setattr(page, "staged", None)
+    g = many(spark)
+    rows = g.nets.orderBy("net").collect()
+    assert [r.number for r in rows] == list(range(1, len(rows) + 1)) and sum(r.n_segments for r in rows) == g.wires.count()
