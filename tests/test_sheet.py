@@ -5,6 +5,7 @@ import random
 import numpy as np
 
 from netloom.operators import page, reports, sheet
+from netloom.sinks import netlists
 
 NAMES = ["R1", "R2", "R3", "U7", "C12", "D4", "10k", "4.7uF", "NET_1", "NET_2", "SIG", "SIG", "42", "a b", " U3A ", None]
 
@@ -92,3 +93,10 @@ def test_nets_of_a_page_of_many_rows(spark, monkeypatch):
     g = many(spark)
     rows = g.nets.orderBy("net").collect()
     assert [r.number for r in rows] == list(range(1, len(rows) + 1)) and sum(r.n_segments for r in rows) == g.wires.count()
+
+
+def test_netlist_of_a_page_of_many_rows(spark, monkeypatch):
+    monkeypatch.setattr(page, "staged", None)
+    g = many(spark)
+    lines = netlists.netlist(g.components, g.pins, g.nets)
+    assert lines.where("line like '    (net (code%'").count() == g.nets.count() > 0
